@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,4 +27,20 @@ def local_session(cores: str | int = "*", memory: str = "8g", **conf: str) -> Sp
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once a context, for those that can't import it from a path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_intervalia_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="intervalia-src-")  # executors may fetch the file later
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(z := f"{folder}/intervalia-src.zip", "w") as f:
+        for p in sorted(here.rglob("*.py")):
+            f.write(p, p.relative_to(here.parent))
+    sc.addPyFile(z)
+    sc._intervalia_shipped = True
