@@ -8,9 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bpe, epsilon_grid, hmm, mixing, ngram_join, quality_fm, quality_rules, suffix_dedup, warc
+from . import bpe, epsilon_grid, hmm, mixing, ngram_join, quality_fm, quality_rules, suffix_dedup, token_counts, warc
 
-_MODULES = (quality_rules, ngram_join, mixing, hmm, bpe, suffix_dedup, warc, quality_fm, epsilon_grid)
+_MODULES = (quality_rules, ngram_join, mixing, hmm, bpe, suffix_dedup, token_counts, warc, quality_fm, epsilon_grid)
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
