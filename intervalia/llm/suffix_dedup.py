@@ -593,8 +593,8 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cut_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without the passages that repeat (what is left of a character cut in two goes, too)."""
-    got = deduplicated(docs, outputs=("kept_text",))
-    return got.select(*(F.col("kept_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return deduplicated(docs, outputs=("kept_text",)).select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 SQL = None
