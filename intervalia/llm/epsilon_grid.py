@@ -60,7 +60,7 @@ def _gap(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray)
     return (np.maximum(0, np.maximum(lo_a - hi_b, lo_b - hi_a)) ** 2).sum(-1)
 
 
-def _blocks(vectors: DataFrame, turn: np.ndarray, eps: float, dim: int) -> DataFrame:
+def _blocks(vectors: DataFrame, turn: np.ndarray, eps: float, dim: int, size: int) -> DataFrame:
     """part, block, box and content of each block of the sorted sequence."""
     g = min(DIMENSIONS, dim)
 
@@ -84,9 +84,9 @@ def _blocks(vectors: DataFrame, turn: np.ndarray, eps: float, dim: int) -> DataF
 
         for b in batches:
             held += zip(b.column("k").to_pylist(), b.column("v").to_pylist(), b.column("copies").to_pylist(), strict=True)
-            while len(held) >= BLOCK:
-                yield put(held[:BLOCK])
-                held, number = held[BLOCK:], number + 1
+            while len(held) >= size:
+                yield put(held[:size])
+                held, number = held[size:], number + 1
         if held:
             yield put(held)
 
@@ -121,16 +121,16 @@ def _near_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     return pairs
 
 
-def linked(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np.ndarray, eps: float, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np.ndarray, eps: float, cosine: float, same: bool, size: int = INTERVAL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places in a and b of vectors (of length 1) that link, by intervals; for a block with itself, i < j."""
-    cuts_a, cuts_b = range(0, len(a), INTERVAL), range(0, len(b), INTERVAL)
-    box = lambda t, cuts: (np.array([t[i : i + INTERVAL].min(0) for i in cuts]), np.array([t[i : i + INTERVAL].max(0) for i in cuts]))
+    cuts_a, cuts_b = range(0, len(a), size), range(0, len(b), size)
+    box = lambda t, cuts: (np.array([t[i : i + size].min(0) for i in cuts]), np.array([t[i : i + size].max(0) for i in cuts]))
     (lo_a, hi_a), (lo_b, hi_b) = box(turned_a, cuts_a), box(turned_b, cuts_b)
     for x, i in enumerate(cuts_a):
         close = np.flatnonzero(_gap(lo_a[x], hi_a[x], lo_b, hi_b) <= eps * eps)
         for y in close[close >= x] if same else close:
             j = cuts_b[y]
-            p, q = np.nonzero(a[i : i + INTERVAL] @ b[j : j + INTERVAL].T >= cosine)
+            p, q = np.nonzero(a[i : i + size] @ b[j : j + size].T >= cosine)
             p, q = p + i, q + j
             if same and x == y:
                 p, q = p[p < q], q[p < q]
@@ -138,7 +138,7 @@ def linked(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np.ndar
                 yield p, q
 
 
-def _links(pairs: DataFrame, turn: np.ndarray, eps: float, cosine: float, dim: int) -> DataFrame:
+def _links(pairs: DataFrame, turn: np.ndarray, eps: float, cosine: float, dim: int, interval: int) -> DataFrame:
     g = min(DIMENSIONS, dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def _links(pairs: DataFrame, turn: np.ndarray, eps: float, cosine: float, dim: i
                 off = 0 if same else len(ks[0])
                 k = ks[0] if same else np.concatenate(ks)
                 up, links = np.arange(len(k)), np.zeros(len(k))
-                found = list(linked(xs[0], xs[1], turned[0], turned[1], eps, cosine, same))
+                found = list(linked(xs[0], xs[1], turned[0], turned[1], eps, cosine, same, interval))
                 for p, q in found:
                     links[: len(ks[0])] += np.bincount(p, copies[1][q], len(ks[0]))
                     links[off : off + len(ks[1])] += np.bincount(q, copies[0][p], len(ks[1]))
@@ -176,7 +176,7 @@ def _links(pairs: DataFrame, turn: np.ndarray, eps: float, cosine: float, dim: i
     return pairs.mapInArrow(run, "a long, b long, links long")
 
 
-def joined(table_: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
+def joined(table_: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, block: int = BLOCK, interval: int = INTERVAL) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (least id reachable by links)."""
     sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
     # -0.0 + 0.0 is 0.0; trailing zeros don't matter
@@ -199,12 +199,12 @@ def joined(table_: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(v, np.float64).tobytes() for v in b.column(1).to_pylist()], pa.binary()), b.column(2)], names=["k", "v", "copies"])
 
     packed = distinct.select("k", "v", "copies").mapInArrow(pack, "k long, v binary, copies long")
-    blocks = stash(_blocks(packed, turn, eps, dim), "grid-blocks")
+    blocks = stash(_blocks(packed, turn, eps, dim, block), "grid-blocks")
     one = blocks.select(F.col("block").alias("x"), F.col("ks").alias("ks_a"), F.col("xs").alias("xs_a"), F.col("copies").alias("copies_a"))
     two = blocks.select(F.col("block").alias("y"), F.col("ks").alias("ks_b"), F.col("xs").alias("xs_b"), F.col("copies").alias("copies_b"))
     tasks = _near_pairs(blocks, eps).join(one, F.col("a") == F.col("x")).join(two, F.col("b") == F.col("y")).drop("x", "y")
     spread = tasks.repartition(int(table_.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("a"), F.col("b"))
-    links = stash(_links(spread, turn, eps, cosine, dim), "grid-links")
+    links = stash(_links(spread, turn, eps, cosine, dim, interval), "grid-links")
 
     root = components(links.filter("b IS NOT NULL").select("a", "b"))
     degree = links.filter("links IS NOT NULL").groupBy("a").agg(F.sum("links").alias("links"))

@@ -44,20 +44,15 @@ HELD = 1_500_000
 COUNTED = 400_000
 BLOCK = 2048
 SMOOTH = 20.0
-_SYMBOLS = 1 + OWN + ENDINGS
-
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def ending(word: bytes) -> int:
-    return 1 + OWN + zlib.crc32(word[-2:]) % ENDINGS
-
-
-def _ending_column(word: Column) -> Column:
+def _ending_column(word: Column, own: int, endings: int) -> Column:
+    """Vocabulary.ending of a column."""
     tail = F.substring(F.encode(word, "UTF-8"), -2, 2)
-    return (F.crc32(F.when(F.octet_length(word) < 2, F.encode(word, "UTF-8")).otherwise(tail)) % ENDINGS + 1 + OWN).cast("int")
+    return (F.crc32(F.when(F.octet_length(word) < 2, F.encode(word, "UTF-8")).otherwise(tail)) % endings + 1 + own).cast("int")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -90,6 +85,10 @@ class Model:
 
 @dataclass
 class Vocabulary:
+    """Symbol 0 is the end, 1 to own are words, and `endings` more are shared."""
+
+    own: int
+    endings: int
     known: dict[bytes, tuple[int, int]]  # symbol, count
     total: int
     distinct: int
@@ -97,27 +96,29 @@ class Vocabulary:
     own_total: np.ndarray  # of each symbol, T
     own_distinct: np.ndarray  # of each symbol, V
 
+    def ending(self, word: bytes) -> int:
+        return 1 + self.own + zlib.crc32(word[-2:]) % self.endings
+
     def symbols(self, text: str | None) -> np.ndarray:
         known = self.known
-        return np.array([known[w][0] if w in known else ending(w) for w in tokens(text)] + [0], np.int32)
+        return np.array([known[w][0] if w in known else self.ending(w) for w in tokens(text)] + [0], np.int32)
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
+def vocabulary(counts: DataFrame, own: int = OWN, known: int = KNOWN, endings: int = ENDINGS) -> Vocabulary:
     sums = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == "", F.col("n")))).first()
-    ranked = counts.filter("word <> ''").orderBy(F.col("n").desc(), "word").limit(KNOWN).collect()
-    own = {r["word"].encode(): (1 + i, r["n"]) for i, r in enumerate(ranked[:OWN])}
-    known = own | {(w := r["word"].encode()): (ending(w), r["n"]) for r in ranked[OWN:]}
-    total, distinct = np.zeros(_SYMBOLS), np.zeros(_SYMBOLS)
-    total[0], distinct[0] = sums[2] or 0, 1
-    for s, n in own.values():
-        total[s], distinct[s] = n, 1
-    by_ending = counts.filter("word <> ''").groupBy(_ending_column(F.col("word")).alias("s")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    for r in by_ending:  # ENDINGS rows at most; words that are symbols of their own don't count
+    ranked = [(r["word"].encode(), r["n"]) for r in counts.filter("word <> ''").orderBy(F.col("n").desc(), "word").limit(known).collect()]
+    total, distinct = np.zeros(1 + own + endings), np.zeros(1 + own + endings)
+    v = Vocabulary(own, endings, {w: (1 + i, n) for i, (w, n) in enumerate(ranked[:own])}, int(sums[0] or 0), int(sums[1]), int(sums[2] or 0), total, distinct)
+    total[0], distinct[0] = v.ends, 1
+    ending = _ending_column(F.col("word"), own, endings)
+    for r in counts.filter("word <> ''").groupBy(ending.alias("s")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # at most `endings` rows
         total[r["s"]], distinct[r["s"]] = r["n"], r["v"]
-    for w, (_, n) in own.items():
-        total[ending(w)] -= n
-        distinct[ending(w)] -= 1
-    return Vocabulary(known, int(sums[0] or 0), int(sums[1]), int(sums[2] or 0), total, distinct)
+    for w, (s, n) in v.known.items():  # words that are symbols of their own share none
+        total[s], distinct[s] = n, 1
+        total[v.ending(w)] -= n
+        distinct[v.ending(w)] -= 1
+    v.known.update((w, (v.ending(w), n)) for w, n in ranked[own:])
+    return v
 
 
 def _layout(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +163,7 @@ def log10_likelihood(m: Model, seqs: list[np.ndarray]) -> np.ndarray:
 class Expected:
     """Sums of expected counts over sequences."""
 
-    def __init__(self, states: int = STATES, symbols: int = _SYMBOLS) -> None:
+    def __init__(self, states: int, symbols: int) -> None:
         self.start, self.move, self.emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
 
     def add(self, m: Model, seqs: list[np.ndarray]) -> None:
@@ -210,10 +211,10 @@ def first_model(unigram: np.ndarray, states: int = STATES) -> Model:
 def trained(texts: DataFrame, v: Vocabulary, sample: list[str], rounds: int = ROUNDS) -> Model:
     """Baum-Welch: rounds over the sample, then over all texts (a DataFrame of one column)."""
     unigram = (v.own_total + 0.5) / (v.own_total + 0.5).sum()
-    m = first_model(unigram)
+    m, symbols = first_model(unigram), len(unigram)
     some = [v.symbols(t) for t in sample]
     for _ in range(START_ROUNDS if some else 0):
-        e = Expected()
+        e = Expected(STATES, symbols)
         e.add(m, some)
         m = e.model(m, unigram)
     sc = texts.sparkSession.sparkContext
@@ -222,10 +223,10 @@ def trained(texts: DataFrame, v: Vocabulary, sample: list[str], rounds: int = RO
         now = sc.broadcast(m)
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            e = Expected()
+            e = Expected(STATES, symbols)
             for b in batches:
                 e.add(now.value, [words.value.symbols(t.as_py()) for t in b.column(0)])
-            parts = [(-1, np.vstack([e.start, e.move]))] + [(i // BLOCK, e.emit[i : i + BLOCK]) for i in range(0, _SYMBOLS, BLOCK)]
+            parts = [(-1, np.vstack([e.start, e.move]))] + [(i // BLOCK, e.emit[i : i + BLOCK]) for i in range(0, symbols, BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["part", "counts"])
 
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +241,7 @@ def trained(texts: DataFrame, v: Vocabulary, sample: list[str], rounds: int = RO
         got = {r["part"]: np.frombuffer(r["counts"]) for r in partial.mapInArrow(total, "part int, counts binary").collect()}
         if not got:
             break
-        e = Expected()
+        e = Expected(STATES, symbols)
         head = got.pop(-1).reshape(-1, STATES)
         e.start, e.move = head[0], head[1:]
         e.emit = np.concatenate([got[i] for i in sorted(got)]).reshape(-1, STATES)
@@ -266,9 +267,9 @@ def scored(docs: DataFrame, counts: DataFrame, v: Vocabulary, m: Model, text: st
                 ws = tokens(t.as_py())
                 got = [v.known.get(w) for w in ws]
                 unseen = [w for w, g in zip(ws, got, strict=True) if g is None]
-                s = np.array([g[0] if g else ending(w) for w, g in zip(ws, got, strict=True)] + [0], np.int32)
+                s = np.array([g[0] if g else v.ending(w) for w, g in zip(ws, got, strict=True)] + [0], np.int32)
                 c = np.array([g[1] for g in got if g] + [v.ends], float)
-                at = s > OWN
+                at = s > v.own
                 shared_c = np.array([g[1] if g else 0 for g in got] + [0], float)
                 seqs.append(s)
                 rest.append(unseen)

@@ -110,7 +110,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_metadat
     prior = float(np.log((good * len(labels) + 0.5) / ((1 - good) * len(labels) + 0.5)))
     rng = np.random.default_rng(7)
     m = Machine(prior, np.zeros(size), rng.normal(0, 0.05, (size, rank)))
-    if not 0 < good < 1:
+    if not rows or not 0 < good < 1:
         return Machine(prior, m.w, np.zeros((size, rank)))
     gb, gw, gv = 1e-3, np.full(size, 1e-3), np.full((size, rank), 1e-3)
     for _ in range(epochs):

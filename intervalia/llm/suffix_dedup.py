@@ -110,8 +110,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at, gram[at] >> np.uint64(64 - _BITS), around >> np.uint64(64 - _BITS)
 
 
-def text_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Numbers of texts, places in them, and both hashes; texts are hashed together up to CHUNK bytes, longer ones in overlapping parts."""
+def text_anchors(texts: list[bytes], chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of texts, places in them, and both hashes; texts are hashed together up to `chunk` bytes, longer ones in overlapping parts."""
     some, size = [], 0
 
     def together() -> tuple:
@@ -123,16 +123,16 @@ def text_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, n
     for i, t in enumerate(texts):
         if len(t) < LENGTH:
             continue
-        if len(t) > CHUNK:
+        if len(t) > chunk:
             # a part's surroundings must not end where it does, but where the text does: parts overlap on both sides
-            kept = CHUNK - 2 * (LENGTH + REACH)
+            kept = chunk - 2 * (LENGTH + REACH)
             for lo in range(0, len(t), kept):
                 a, b = max(0, lo - LENGTH - REACH), min(len(t), lo + kept + LENGTH + REACH)
                 at, gram, around = anchors(np.frombuffer(t[a:b], np.uint8), np.array([b - a]))
                 own = (at + a >= lo) & (at + a < lo + kept)
                 yield np.full(own.sum(), i), at[own] + a, gram[own], around[own]
             continue
-        if size + len(t) > CHUNK and some:
+        if size + len(t) > chunk and some:
             yield together()
             some, size = [], 0
         some.append(i)
@@ -164,7 +164,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS.values(), strict=True)], names=list(_KINDS))
 
 
-def _runs(keyed: DataFrame, n_cells: int) -> DataFrame:
+def _runs(keyed: DataFrame, n_cells: int, chunk: int) -> DataFrame:
     """Rows of texts (body is null) and of cells of runs: anchors in order of their k-gram's hash, cut into ranges of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def _runs(keyed: DataFrame, n_cells: int) -> DataFrame:
             if rows:
                 yield _batch(rows)
             numbers = np.array(new)
-            for which, at, gram, around in text_anchors(texts):
+            for which, at, gram, around in text_anchors(texts, chunk):
                 held.append((numbers[which], at, gram, around))
                 size += len(at)
             if held and (size >= RUN_ANCHORS or len(seen) >= RUN_DOCS // 2):
@@ -214,7 +214,7 @@ def _runs(keyed: DataFrame, n_cells: int) -> DataFrame:
     return keyed.mapInArrow(run, _ROWS)
 
 
-def _occurrences(rows: DataFrame) -> DataFrame:
+def _occurrences(rows: DataFrame, most: int) -> DataFrame:
     """Texts as they are; per run, the anchors that occur again: whether settled, and the part of their group that their suffix goes to (-1: none)."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +249,9 @@ def _occurrences(rows: DataFrame) -> DataFrame:
             mixed = np.bincount(group, new_both)[group] > 1  # different surroundings
             nth = np.cumsum(new_both)
             nth = nth - nth[new_gram][group]  # which of the group's surroundings
-            part = np.where(mixed & new_both, nth // GROUP, -1).astype(np.int32)
+            part = np.where(mixed & new_both, nth // most, -1).astype(np.int32)
             keep = settled | (part >= 0)
-            big = (np.bincount(group, new_both)[group] > GROUP) & (part >= 0)
+            big = (np.bincount(group, new_both)[group] > most) & (part >= 0)
             for i, (number, _, _) in enumerate(parts):
                 k = keep & (run == i)
                 if k.any():
@@ -526,11 +526,11 @@ def _found(runs: DataFrame) -> DataFrame:
     return runs.mapInArrow(run, "k1 long, k2 long, start long, stop long, string long")
 
 
-def repeated_spans(keyed: DataFrame) -> DataFrame:
+def repeated_spans(keyed: DataFrame, group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
     """k1, k2, spans: (start, stop) of the bytes to remove, from rows (k1, k2: key of the text, r: of the row, text)."""
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _runs(keyed, max(64, 4 * parts)).repartition(parts, F.coalesce(F.col("cell").cast("long"), F.xxhash64("run", "k1")))
-    found = stash(_occurrences(rows), "suffix-anchors")
+    rows = _runs(keyed, max(64, 4 * parts), chunk).repartition(parts, F.coalesce(F.col("cell").cast("long"), F.xxhash64("run", "k1")))
+    found = stash(_occurrences(rows, group), "suffix-anchors")
     texts = stash(_per_text(found.repartition(parts, F.col("run"))), "suffix-texts")
     sort = texts.filter("places IS NOT NULL").select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("r").alias("p_r"), "places", "grams", "parts", "bigs")
     # of copies, the row whose anchors were chosen (r is compared after the join, so that its key is the text's)
@@ -546,7 +546,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     return settled.join(spans.select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), "more"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").drop("m1", "m2")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", row_key: str = "doc_id", outputs: tuple[str, ...] = ("kept", "spans"), carry: list[str] | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", row_key: str = "doc_id", outputs: tuple[str, ...] = ("kept", "spans"), carry: list[str] | None = None, group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
     """The columns `carry` (all, if None) and the wanted of: kept (the bytes left), spans (start, stop of those
     removed), kept_text (what of them is UTF-8), and the digests n_bytes, n_removed, n_spans, kept_sha256."""
     carry = list(docs.columns) if carry is None else carry
@@ -554,7 +554,7 @@ def deduplicated(docs: DataFrame, text: str = "text", row_key: str = "doc_id", o
     arrow = {"kept": pa.binary(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), "kept_text": pa.string(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
     keys = {"_k1": F.xxhash64(F.col(text)), "_k2": F.xxhash64(F.lit("second"), F.col(text)), "_r": F.xxhash64(F.col(row_key))}
     keyed = docs.select(*carry, F.col(text).alias("_text"), *(v.alias(k) for k, v in keys.items()))
-    spans = repeated_spans(keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_r").alias("r"), F.col("_text").alias("text")))
+    spans = repeated_spans(keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_r").alias("r"), F.col("_text").alias("text")), group, chunk)
     both = keyed.join(spans, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
     source = both.select(*carry, "_text", "packed", "more")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(carry)]] + [f"{o} {kinds[o]}" for o in outputs])

@@ -178,17 +178,15 @@ def test_vectors(spark):
     assert epsilon_grid.joined(df.limit(0)).count() == 0 and epsilon_grid.joined(df.filter("vec_id in (5, 6)")).count() == 2
 
 
-def test_grid_against_all_pairs(spark, monkeypatch):
+def test_grid_against_all_pairs(spark):
     import numpy as np
 
-    monkeypatch.setattr(epsilon_grid, "BLOCK", 64)
-    monkeypatch.setattr(epsilon_grid, "INTERVAL", 16)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 16))
     x = np.concatenate([centres[rng.integers(0, 12, 500)] + rng.normal(scale=0.25, size=(500, 16)), np.repeat(centres[:1], 40, 0)])
     u = x / np.linalg.norm(x, axis=1)[:, None]
     near = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
-    got = {r["vec_id"]: r for r in epsilon_grid.joined(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    got = {r["vec_id"]: r for r in epsilon_grid.joined(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), block=64, interval=16).collect()}
     assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
     label = np.arange(len(x))
     for _ in range(len(x)):
