@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stash
+
 Cols = list[str]
 
 
@@ -79,8 +81,9 @@ def deviation_gate(rows: DataFrame, part: Cols, value: str, least: int = 6, most
 def same_row_groups(rows: DataFrame, page: Cols, key: str, top: str, bottom: str, order: Cols, height_ratio: float = 0.55, centre: float = 0.45, overlap: float = 0.30, rounds: int = 12) -> DataFrame:
     """rows with row_head: the first (in order) of those that lie in one visual row with them, directly or through others.
 
-    Two rows match if their heights, centres and common part are alike. Heads spread from neighbour to neighbour with
-    path halving, at most `rounds` times: 2^rounds rows side by side, far beyond a page.
+    Two rows match if their heights, centres and common part are alike. Heads spread from neighbour to neighbour, and
+    from a head to its own, until no two matching rows have different ones: twice the reach a round, so `rounds` do
+    for 2^rounds rows side by side. Each round is written to the shared folder.
     """
     first = F.row_number().over(Window.partitionBy(*page).orderBy(*order))
     a = rows.select(*page, F.col(key).alias("_a"), F.col(top).alias("_at"), F.col(bottom).alias("_ab"), first.alias("_ai"))
@@ -92,15 +95,14 @@ def same_row_groups(rows: DataFrame, page: Cols, key: str, top: str, bottom: str
         & (F.least("_ab", "_bb") - F.greatest("_at", "_bt") >= overlap * F.least(ha, hb))
     )
     links = a.join(b, page).filter(like).select(*page, F.col("_ai").alias("_x"), F.col("_bi").alias("_y"))
-    near = links.groupBy(*page, "_x").agg(F.min("_y").alias("_h"))
-    heads = near
+    links = stash(links, "row-links")
+    heads = stash(links.groupBy(*page, "_x").agg(F.min("_y").alias("_h")), "row-heads")
     for _ in range(rounds):
         step = links.join(heads.select(*page, F.col("_x").alias("_y"), F.col("_h").alias("_g")), [*page, "_y"]).groupBy(*page, "_x").agg(F.min("_g").alias("_h"))
-        jump = step.select(*page, F.col("_x").alias("_h"), F.col("_h").alias("_j"))
-        heads = step.join(jump, [*page, "_h"]).groupBy(*page, "_x").agg(F.min("_j").alias("_h")).checkpoint()
-        if not heads.filter("_h <> _x").join(heads.select(*page, F.col("_x").alias("_h"), F.col("_h").alias("_up")), [*page, "_h"]).filter("_up <> _h").limit(1).collect():
-            across = links.join(heads.select(*page, "_x", F.col("_h").alias("_hx")), [*page, "_x"]).join(heads.select(*page, F.col("_x").alias("_y"), F.col("_h").alias("_hy")), [*page, "_y"])
-            if not across.filter("_hx <> _hy").limit(1).collect():
-                break
+        jump = heads.select(*page, F.col("_x").alias("_h"), F.col("_h").alias("_j"))
+        heads = stash(step.join(jump, [*page, "_h"]).select(*page, "_x", F.least("_h", "_j").alias("_h")), "row-heads")
+        x = links.join(heads.select(*page, "_x", F.col("_h").alias("_hx")), [*page, "_x"]).join(heads.select(*page, F.col("_x").alias("_y"), F.col("_h").alias("_hy")), [*page, "_y"])
+        if not x.filter("_hx <> _hy").limit(1).collect():
+            break
     named = heads.join(a.select(*page, F.col("_ai").alias("_x"), F.col("_a").alias(key)), [*page, "_x"]).join(a.select(*page, F.col("_ai").alias("_h"), F.col("_a").alias("row_head")), [*page, "_h"])
     return rows.join(named.select(*page, key, "row_head"), [*page, key])

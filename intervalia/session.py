@@ -6,10 +6,11 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", memory: str = "8g", **conf: str) -> SparkSession:
@@ -31,6 +32,21 @@ def local_session(cores: str | int = "*", memory: str = "8g", **conf: str) -> Sp
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where none is named."""
+    if not (where := spark.conf.get("spark.checkpoint.dir", None)):
+        where = "file://" + tempfile.mkdtemp(prefix="intervalia-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends here, and sizes are known."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers once a context, for those that can't import it from a path."""
     sc = spark.sparkContext
