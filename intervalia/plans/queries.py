@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import coerce
+from ..functions import coerce, geometry, validate
 from ..operators import boxes, layout, ledger, mapping, numbering, overlay, reports, suggestions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -626,3 +626,68 @@ def pair_confidence(spark, sf_dir):
 def keyed_merge(spark, sf_dir):
     old = read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("word"))
     return suggestions.merged_by_id(old, read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("word")), ["doc_id"])
+
+
+# validation and geometry
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'missing_row_id' WHEN o_orderkey % 7 = 0 THEN 'invalid_page' WHEN o_orderpriority LIKE '5%' THEN 'invalid_staff_kind'
+  WHEN NOT (o_totalprice > 60000) THEN 'invalid_rect' WHEN NOT (c1 > 60000 AND c2 > c1 AND o_totalprice > c2) THEN 'invalid_cuts' END AS reason
+FROM (SELECT *, 60000 + (o_orderkey % 9) * 1000.0 AS c1, 60000 + (o_orderkey % 13) * 1500.0 AS c2 FROM orders)""")
+def manual_row_reasons(spark, sf_dir):
+    k = F.col("o_orderkey")
+    cuts = F.array((60000 + (k % 9) * 1000).cast("double"), (60000 + (k % 13) * 1500).cast("double"))
+    kind = F.when(F.col("o_orderpriority").startswith("5"), "odd").otherwise("single")
+    reason = validate.manual_row_reason(F.when(k % 10 != 0, k.cast("string")), k % 7, kind, F.lit(60000.0), F.lit(0.0), F.col("o_totalprice"), F.lit(1.0), cuts)
+    return read(spark, sf_dir, "orders").select("o_orderkey", reason.alias("reason"))
+
+
+_BOXES = """b AS (SELECT o_custkey, floor(o_totalprice / 1000)::DOUBLE AS l, floor(o_totalprice / 1000)::DOUBLE + o_orderkey % 30 AS r, o_orderkey::VARCHAR AS id FROM orders)"""
+
+
+@query(f"""WITH RECURSIVE {_BOXES}, f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY l, r, id) AS rn FROM b WHERE l >= 50 AND r <= 400 AND r - l >= 2),
+g AS (SELECT o_custkey, rn, id, r AS edge, true AS kept FROM f WHERE rn = 1
+  UNION ALL SELECT f.o_custkey, f.rn, f.id, CASE WHEN g.edge <= f.l THEN f.r ELSE g.edge END, g.edge <= f.l FROM g JOIN f ON f.o_custkey = g.o_custkey AND f.rn = g.rn + 1)
+SELECT o_custkey, id AS measure_id FROM g WHERE kept""")
+def kept_boxes(spark, sf_dir):
+    left = F.floor(F.col("o_totalprice") / 1000).cast("double")
+    box = F.struct(left.alias("left"), (left + F.col("o_orderkey") % 30).alias("right"), F.col("o_orderkey").cast("string").alias("measure_id"))
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(box).alias("boxes"))
+    return o.select("o_custkey", F.explode(validate.kept_boxes(F.col("boxes"), F.lit(50.0), F.lit(400.0))).alias("b")).select("o_custkey", "b.measure_id")
+
+
+@query(f"""WITH {_BOXES}, s AS (SELECT *, lag(r) OVER (PARTITION BY o_custkey ORDER BY l, r) AS before FROM b)
+SELECT o_custkey, CASE WHEN bool_or(NOT (l >= 10 AND r <= 450)) THEN 'box_outside_row' WHEN bool_or(r - l < 2) THEN 'box_too_narrow' WHEN bool_or(before > l) THEN 'overlapping_boxes' END AS reason FROM s GROUP BY ALL""")
+def auto_row_reasons(spark, sf_dir):
+    left = F.floor(F.col("o_totalprice") / 1000).cast("double")
+    box = F.struct(left.alias("left"), (left + F.col("o_orderkey") % 30).alias("right"), F.col("o_orderkey").cast("string").alias("measure_id"))
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(box).alias("boxes"))
+    return o.select("o_custkey", validate.auto_row_reason(F.col("boxes"), F.lit(10.0), F.lit(0.0), F.lit(450.0), F.lit(1.0)).alias("reason"))
+
+
+@query("""WITH s AS (SELECT s_nationkey, s_suppkey, s_acctbal AS t, s_acctbal + 40 AS b FROM supplier),
+n AS (SELECT *, (SELECT max(p.t) FROM s p WHERE p.s_nationkey = s.s_nationkey AND p.t < s.t) + 40 AS pb, (SELECT min(p.t) FROM s p WHERE p.s_nationkey = s.s_nationkey AND p.t > s.t) AS nt FROM s)
+SELECT s_suppkey, round(t - CASE WHEN pb < t THEN least(100, 0.75 * (t - pb)) ELSE 100 END, 3) AS top, round(b + CASE WHEN nt > b THEN least(100, 0.75 * (nt - b)) ELSE 100 END, 3) AS bottom FROM n""")
+def crop_bands(spark, sf_dir):
+    s = layout.neighbours(read(spark, sf_dir, "supplier"), ["s_nationkey"], "s_acctbal")
+    band = geometry.crop_band(F.col("s_acctbal"), F.col("s_acctbal") + 40, F.col("prev_at") + 40, F.col("next_at"), F.lit(100.0))
+    return s.select("s_suppkey", F.round(band["top"], 3).alias("top"), F.round(band["bottom"], 3).alias("bottom"))
+
+
+@query("""SELECT p_partkey, round(l, 3) AS x_left, round(t, 3) AS y_top, round(l + p_size + 4, 3) AS x_right FROM (SELECT *, greatest(0, least(p_retailprice - p_size / 2.0 - 2, 1500 - p_size - 4)) AS l, greatest(0, least(p_retailprice / 2 - 14, 986)) AS t FROM part)""")
+def label_boxes(spark, sf_dir):
+    box = geometry.label_box(F.col("p_retailprice"), F.col("p_retailprice") / 2, F.col("p_size"), F.lit(10.0), F.lit(1500.0), F.lit(1000.0))
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(box["left"], 3).alias("x_left"), F.round(box["top"], 3).alias("y_top"), F.round(box["right"], 3).alias("x_right"))
+
+
+@query("""SELECT event_id, event_id % 600 IN (408, 409, 425, 429, 500, 502, 503, 504) OR regexp_matches(event_type || CASE WHEN event_id % 5 = 0 THEN ' Timed out' ELSE '' END, 'Timed out') AS again,
+  CASE WHEN event_type <> 'view' THEN 'not_a_pdf' WHEN event_id % 4 = 0 THEN 'empty_file' WHEN event_id % 40 > 25 THEN 'file_too_large' END AS reason, CASE WHEN event_type = 'click' OR event_id % 9 = 0 THEN 'manual' ELSE 'auto' END AS row_source FROM events""")
+def request_rules(spark, sf_dir):
+    k = F.col("event_id")
+    said = F.concat("event_type", F.when(k % 5 == 0, " Timed out").otherwise(""))
+    name = F.when(F.col("event_type") == "view", "a.PDF").otherwise("a.png")
+    size = F.when(k % 4 == 0, F.lit(0)).otherwise((k % 40) * (1 << 20))
+    return read(spark, sf_dir, "events").select(
+        "event_id", validate.retryable((k % 600).cast("int"), said).alias("again"), validate.upload_reason(name, F.lit(None).cast("string"), size).alias("reason"),
+        validate.row_source(F.when(F.col("event_type") == "click", " Manual"), F.when(k % 9 == 0, "m1"), F.lit("p1_s0")).alias("row_source"),
+    )
