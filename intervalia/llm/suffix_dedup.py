@@ -23,7 +23,7 @@ texts of their own; an empty table gives an empty result; other columns pass thr
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +39,12 @@ GRAM = 72
 #: k-grams in a string: anchors are at most so far apart, and strings begin at most REACH bytes before one.
 STRING_GRAMS = LENGTH - GRAM + 1
 REACH = STRING_GRAMS - 1
-RUN_ANCHORS, RUN_DOCS = 600_000, 60_000
+RUN_ANCHORS, RUN_DOCS = 250_000, 60_000
 GROUP = 16_384
 #: Bytes hashed at a time; positions in them take 20 bits.
-CHUNK = (1 << 20) - 4096
+CHUNK = 1 << 18
+#: Bytes of suffixes that a task holds before it passes on their runs.
+HELD = 24 << 20
 _BITS = 48
 _ODD = 0x9E3779B97F4A7C15
 
@@ -64,8 +66,8 @@ class _Hasher:
 
     @classmethod
     def sums(cls, data: np.ndarray) -> np.ndarray:
-        if cls.UP is None:
-            cls.UP, cls.DOWN = _powers(_ODD, (1 << 20) + 2), _powers(pow(_ODD, -1, 1 << 64), (1 << 20) + 2)
+        if cls.UP is None or len(cls.UP) < len(data) + 2:
+            cls.UP, cls.DOWN = (_powers(b, max(CHUNK, len(data)) + 2) for b in (_ODD, pow(_ODD, -1, 1 << 64)))
         out = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(cls.TABLE[data] * cls.UP[: len(data)], out=out[1:])
         return out
@@ -110,15 +112,15 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at, gram[at] >> np.uint64(64 - _BITS), around >> np.uint64(64 - _BITS)
 
 
-def text_anchors(texts: list[bytes], chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def text_anchors(texts: Iterable[bytes], chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Numbers of texts, places in them, and both hashes; texts are hashed together up to `chunk` bytes, longer ones in overlapping parts."""
-    some, size = [], 0
+    some, size = {}, 0
 
     def together() -> tuple:
-        ends = np.cumsum([len(texts[i]) for i in some])
-        at, gram, around = anchors(np.frombuffer(b"".join(texts[i] for i in some), np.uint8), ends)
+        ends = np.cumsum([len(t) for t in some.values()])
+        at, gram, around = anchors(np.frombuffer(b"".join(some.values()), np.uint8), ends)
         which = np.searchsorted(ends, at, side="right")
-        return np.array(some)[which], at - np.concatenate([[0], ends])[which], gram, around
+        return np.array(list(some))[which], at - np.concatenate([[0], ends])[which], gram, around
 
     for i, t in enumerate(texts):
         if len(t) < LENGTH:
@@ -134,8 +136,8 @@ def text_anchors(texts: list[bytes], chunk: int = CHUNK) -> Iterator[tuple[np.nd
             continue
         if size + len(t) > chunk and some:
             yield together()
-            some, size = [], 0
-        some.append(i)
+            some, size = {}, 0
+        some[i] = t
         size += len(t)
     if some:
         yield together()
@@ -187,24 +189,27 @@ def _runs(keyed: DataFrame, n_cells: int, chunk: int) -> DataFrame:
                 yield _batch(rows[i : i + 512])
 
         for b in batches:
-            texts, known, rows, new = [], b.column("text"), [], []
-            for k1, k2, r, t in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("r").to_pylist(), known, strict=True):
-                x = (t.as_py() or "").encode()
-                if len(x) < LENGTH:
-                    continue
-                if (k1, k2) in seen:
-                    rows.append((number, None, k1, k2, r, len(x), True, None, None))
-                    continue
-                seen[k1, k2] = len(seen)
-                rows.append((number, seen[k1, k2], k1, k2, r, len(x), False, None, None))
-                texts.append(x)
-                new.append(seen[k1, k2])
+            rows, new = [], []
+
+            def fresh(b=b, rows=rows, new=new) -> Iterator[bytes]:
+                """Texts that the run hasn't had; the others are noted as copies."""
+                for k1, k2, r, t in zip(*(b.column(c) for c in ("k1", "k2", "r", "text")), strict=True):
+                    k1, k2, r, x = k1.as_py(), k2.as_py(), r.as_py(), (t.as_py() or "").encode()
+                    if len(x) < LENGTH:
+                        continue
+                    if copied := (k1, k2) in seen:  # noqa: B023
+                        rows.append((number, None, k1, k2, r, len(x), copied, None, None))  # noqa: B023
+                        continue
+                    seen[k1, k2] = len(seen)  # noqa: B023
+                    rows.append((number, len(seen) - 1, k1, k2, r, len(x), copied, None, None))  # noqa: B023
+                    new.append(len(seen) - 1)  # noqa: B023
+                    yield x
+
+            for which, at, gram, around in text_anchors(fresh(), chunk):
+                held.append((np.array(new)[which], at, gram, around))
+                size += len(at)
             if rows:
                 yield _batch(rows)
-            numbers = np.array(new)
-            for which, at, gram, around in text_anchors(texts, chunk):
-                held.append((numbers[which], at, gram, around))
-                size += len(at)
             if held and (size >= RUN_ANCHORS or len(seen) >= RUN_DOCS // 2):
                 yield from flush()
                 held, seen, size, number = [], {}, 0, number + 1
@@ -434,7 +439,7 @@ def _suffix_runs(texts: DataFrame, n_cells: int) -> DataFrame:
                     item = (x[p : p + LENGTH], head + x[max(0, p - REACH) : p])
                     cells.setdefault((g + part * 7919) % n_cells, []).append(item)
                     size += LENGTH + REACH + 200
-            if size > 64 << 20:
+            if size > HELD:
                 yield from put()
                 cells, size = {}, 0
         if cells:
