@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coerce, geometry, validate
-from ..operators import boxes, layout, ledger, mapping, numbering, overlay, reports, suggestions
+from ..operators import boxes, layout, ledger, mapping, numbering, overlay, reports, selection, suggestions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -691,3 +691,62 @@ def request_rules(spark, sf_dir):
         "event_id", validate.retryable((k % 600).cast("int"), said).alias("again"), validate.upload_reason(name, F.lit(None).cast("string"), size).alias("reason"),
         validate.row_source(F.when(F.col("event_type") == "click", " Manual"), F.when(k % 9 == 0, "m1"), F.lit("p1_s0")).alias("row_source"),
     )
+
+
+# selection
+
+
+@query("""WITH s AS (SELECT s_nationkey, s_suppkey, s_acctbal AS t, s_acctbal + 20 AS b FROM supplier WHERE s_suppkey % 2 = 0), c AS (SELECT s_nationkey, s_acctbal AS ct, s_acctbal + 600 AS cb FROM supplier WHERE s_suppkey % 2 = 1)
+SELECT s_suppkey FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.s_nationkey = s.s_nationkey AND (t + b) / 2 BETWEEN ct - 5 AND cb + 5)""")
+def uncovered_rows(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.col("s_acctbal").alias("t"))
+    items = s.filter("s_suppkey % 2 = 0").withColumn("b", F.col("t") + 20)
+    covers = s.filter("s_suppkey % 2 = 1").withColumn("b", F.col("t") + 600)
+    return selection.uncovered(items, covers, ["s_nationkey"], "s_suppkey", "t", "b", "t", "b").select("s_suppkey")
+
+
+@query("""WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 5 > 0 THEN c_acctbal END AS hint FROM customer), s AS (SELECT s_nationkey, s_suppkey AS x, s_acctbal AS t, s_acctbal + 50 * (s_suppkey % 9) AS b FROM supplier),
+j AS (SELECT *, hint BETWEEN t - 2 AND b + 2 AS covers FROM c JOIN s ON c_nationkey = s_nationkey AND b > t)
+SELECT c_custkey, round(t, 2) AS span_top, round(b, 2) AS span_bottom FROM j QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY coalesce(covers, false) DESC, CASE WHEN covers THEN 0 ELSE coalesce(abs((t + b) / 2 - hint), 0) END, x) = 1""")
+def nearest_span(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("p"), "c_custkey", F.when(F.col("c_custkey") % 5 > 0, F.col("c_acctbal")).alias("hint"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("p"), F.col("s_suppkey").cast("double").alias("x"), F.col("s_acctbal").alias("t"), (F.col("s_acctbal") + 50 * (F.col("s_suppkey") % 9)).alias("b"))
+    got = selection.nearest_span(c, s, ["p"], "c_custkey", "hint", "x", "t", "b")
+    return got.select("c_custkey", F.round("span_top", 2).alias("span_top"), F.round("span_bottom", 2).alias("span_bottom"))
+
+
+@query("""WITH f AS (SELECT *, bool_or(event_type = 'signup') OVER (PARTITION BY user_id, ts::DATE) AS has FROM events)
+SELECT event_id, CASE WHEN has THEN 1 ELSE 2 END::INT AS tier FROM f WHERE CASE WHEN has THEN event_type = 'signup' ELSE value > 50 END""")
+def usable_rows(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return selection.usable_rows(e, ["user_id", "day"], F.col("event_type") == "signup", F.col("value") > 50).select("event_id", "tier")
+
+
+@query("""WITH RECURSIVE st AS (SELECT c_custkey, c_nationkey AS p, c_acctbal AS x FROM customer), sy AS (SELECT s_nationkey AS p, s_acctbal AS l, s_acctbal + 300 AS r FROM supplier),
+g AS (SELECT c_custkey, p, x, 0 AS i FROM st UNION ALL SELECT c_custkey, g.p, coalesce((SELECT min(l) FROM sy WHERE sy.p = g.p AND l < g.x AND g.x < r), g.x), i + 1 FROM g WHERE i < 4)
+SELECT c_custkey, x FROM g WHERE i = 4""")
+def pushed_starts(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("p"), F.col("c_acctbal").alias("x"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("p"), F.col("s_acctbal").alias("l"), (F.col("s_acctbal") + 300).alias("r"))
+    return selection.pushed_left(c, s, ["p"], "c_custkey", "x", "l", "r").select("c_custkey", "x")
+
+
+@query("""WITH d AS (SELECT user_id, ts FROM events WHERE event_type = 'signup'), r AS (SELECT user_id, event_id, ts AS at FROM events WHERE event_type = 'click')
+SELECT d.user_id, epoch_us(d.ts)::BIGINT AS at, (SELECT event_id FROM r WHERE r.user_id = d.user_id AND epoch_us(r.at) // 1000000 >= epoch_us(d.ts) // 1000000 - 3600 ORDER BY r.at, event_id LIMIT 1) AS run FROM d""")
+def next_run(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    d = e.filter("event_type = 'signup'").select("user_id", "ts")
+    r = e.filter("event_type = 'click'").select("user_id", "event_id", F.col("ts").alias("at"))
+    return selection.next_run(d, r, ["user_id"], "ts", "at", "event_id", 3600).select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "run")
+
+
+@query("""SELECT page_id, CASE WHEN n = 1 THEN b ELSE b || '-' || n::VARCHAR END AS name FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY page_id) AS n FROM (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS b FROM pages))""")
+def unique_names(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    return selection.unique_names(p, F.regexp_extract("url", "^https?://([^/]+)", 1), ["page_id"]).select("page_id", "name")
+
+
+@query("""SELECT conv_id, turn, number::INT AS number FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) AS number FROM conversations WHERE length(text) - 10 > 0.6 * 150)""")
+def wide_blocks(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").withColumns({"doc": F.col("conv_id") % 20, "l": F.lit(10), "r": F.length("text"), "w": F.lit(150)})
+    return selection.wide_blocks(c, ["doc"], "conv_id", "l", "r", "turn", "w").select("conv_id", "turn", "number")
