@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 #: Pieces and pairs remembered by a worker before it forgets all and starts anew.
 REMEMBERED = 400_000
@@ -147,7 +147,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] =
                     made[o].append(row[o])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(made[o], OUTPUTS[o]) for o in outputs)], names=[*batch.schema.names[1:], *outputs])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

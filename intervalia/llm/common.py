@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, stash  # noqa: F401
+
 #: The bytes that separate words (space, and tab to carriage return).
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -16,20 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
-    if not (where := spark.conf.get("spark.checkpoint.dir", None)):
-        where = "file://" + tempfile.mkdtemp(prefix="intervalia-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+def bounded_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """At most n rows, those of least hash of the key. Others are dropped by hash first, so that what
+    tasks pass on for the choice is a few times n in all, not in each of them."""
+    total, size = df.count(), 1 << 40
+    few = df.withColumn("_hash", F.pmod(F.xxhash64(key), F.lit(size)))
+    if total > 4 * n:
+        few = few.filter(F.col("_hash") < int(size * 4 * n / total))
+    return few.orderBy("_hash").limit(n).drop("_hash")
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, for mapInArrow, giving memory back to the system: arrays as they are freed, the rest as a task ends.
+
+    Workers live on after a task, next to others of their executor; where the C library has no such calls, nothing is done.
+    """
 
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = ctypes.CDLL(None)
+        if hasattr(c, "mallopt"):
+            c.mallopt(-3, 256 << 10)  # M_MMAP_THRESHOLD: larger blocks are mapped, and unmapped when freed
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(c, "malloc_trim"):
+                c.malloc_trim(0)
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and sizes are known."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return task
 
 
 def let(value: Column, body) -> Column:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import bounded_sample, lean, stash, table
 from .components import components
 
 COSINE = 0.95
@@ -91,8 +91,8 @@ def _blocks(vectors: DataFrame, turn: np.ndarray, eps: float, dim: int, size: in
             yield put(held)
 
     schema = "part long, block long, lo array<double>, hi array<double>, ks binary, xs binary, copies binary"
-    in_order = vectors.mapInArrow(keyed, "k long, v binary, copies long, key long").repartitionByRange("key", "k").sortWithinPartitions("key", "k")
-    return in_order.select("k", "v", "copies").mapInArrow(cut, schema)
+    in_order = vectors.mapInArrow(lean(keyed), "k long, v binary, copies long, key long").repartitionByRange("key", "k").sortWithinPartitions("key", "k")
+    return in_order.select("k", "v", "copies").mapInArrow(lean(cut), schema)
 
 
 def _near_pairs(blocks: DataFrame, eps: float) -> DataFrame:
@@ -173,7 +173,7 @@ def _links(pairs: DataFrame, turn: np.ndarray, eps: float, cosine: float, dim: i
                         second = [pa.nulls(len(at), pa.int64()), pa.array(links[at].astype(np.int64))] if kind == "links" else [pa.array(k[up[at]]), pa.nulls(len(at), pa.int64())]
                         yield pa.RecordBatch.from_arrays([pa.array(k[at]), *second], names=["a", "b", "links"])
 
-    return pairs.mapInArrow(run, "a long, b long, links long")
+    return pairs.mapInArrow(lean(run), "a long, b long, links long")
 
 
 def joined(table_: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, block: int = BLOCK, interval: int = INTERVAL) -> DataFrame:
@@ -184,7 +184,7 @@ def joined(table_: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     rows = stash(rows.withColumn("v", F.when(F.coalesce(sound, F.lit(False)), F.col("v"))), "grid-rows")
     distinct = rows.filter("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     distinct = stash(distinct.withColumn("k", F.monotonically_increasing_id()), "grid-distinct")
-    sample = [r["v"] for r in distinct.orderBy(F.xxhash64("v")).limit(FIT_ROWS).select("v").collect()]
+    sample = [r["v"] for r in bounded_sample(distinct, F.col("v"), FIT_ROWS).select("v").collect()]
     if not sample:
         return rows.select(F.col("id").alias(vec_id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     dim = distinct.agg(F.max(F.size("v"))).first()[0]
@@ -198,7 +198,7 @@ def joined(table_: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(v, np.float64).tobytes() for v in b.column(1).to_pylist()], pa.binary()), b.column(2)], names=["k", "v", "copies"])
 
-    packed = distinct.select("k", "v", "copies").mapInArrow(pack, "k long, v binary, copies long")
+    packed = distinct.select("k", "v", "copies").mapInArrow(lean(pack), "k long, v binary, copies long")
     blocks = stash(_blocks(packed, turn, eps, dim, block), "grid-blocks")
     one = blocks.select(F.col("block").alias("x"), F.col("ks").alias("ks_a"), F.col("xs").alias("xs_a"), F.col("copies").alias("copies_a"))
     two = blocks.select(F.col("block").alias("y"), F.col("ks").alias("ks_b"), F.col("xs").alias("xs_b"), F.col("copies").alias("copies_b"))

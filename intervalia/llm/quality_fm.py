@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_sample, lean, table
 
 FIT_ROWS = 6_000
 WORD_BITS = 15
@@ -147,13 +147,13 @@ def vectors(docs: DataFrame, text: str, metadata: tuple[str, ...], carry: list[s
             packed = [pa.array([at.astype(np.int32).tobytes() for at, _ in got], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in got], pa.binary())]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], *packed], names=[*b.schema.names[: len(carry)], "_at", "_x"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", metadata: tuple[str, ...] = ("n_chars",), doc_id: str = "doc_id", label: str = "quality", rows: int = FIT_ROWS) -> Machine:
     """Labels (doc_id, label) must be those that may be learnt from; at most `rows` of them are."""
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
-    some = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    some = bounded_sample(known, F.col("_id"), rows)
     joined = docs.join(F.broadcast(some), F.col(doc_id) == F.col("_id"))  # `rows` bounds it
     got = vectors(joined, text, metadata, ["_id", "_y"]).orderBy(F.xxhash64("_id"), "_id").limit(rows).collect()
     pairs = [(np.frombuffer(r["_at"], np.int32).astype(np.int64), np.frombuffer(r["_x"], np.float32).astype(np.float64)) for r in got]
@@ -174,7 +174,7 @@ def scored(docs: DataFrame, machine: Machine, text: str = "text", metadata: tupl
             got = [m.score(*vector(t.as_py(), tuple(c[i].as_py() for c in extra))) for i, t in enumerate(texts)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(got, pa.float64())], names=[*b.schema.names[: len(carry)], out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
