@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import bounded_sample, lean, stash, table
 
 STATES = 8
 OWN = 16_384
@@ -73,7 +73,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if got:
             yield made(got)
 
-    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -106,7 +106,15 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, own: int = OWN, known: int = KNOWN, endings: int = ENDINGS) -> Vocabulary:
     sums = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == "", F.col("n")))).first()
-    ranked = [(r["word"].encode(), r["n"]) for r in counts.filter("word <> ''").orderBy(F.col("n").desc(), "word").limit(known).collect()]
+    # by eighths of a power of 2, how frequent the words to rank must be: tasks pass on no more than they
+    size = F.floor(F.log2("n") * 8).cast("int")
+    most, least = 0, 0
+    for r in sorted(counts.filter("word <> ''").groupBy(size.alias("size")).count().collect(), reverse=True):  # at most 512 rows
+        most, least = most + r["count"], r["size"]
+        if most >= known:
+            break
+    ranked = counts.filter("word <> ''").filter(size >= least).coalesce(4).orderBy(F.col("n").desc(), "word").limit(known).collect()
+    ranked = [(r["word"].encode(), r["n"]) for r in ranked]
     total, distinct = np.zeros(1 + own + endings), np.zeros(1 + own + endings)
     v = Vocabulary(own, endings, {w: (1 + i, n) for i, (w, n) in enumerate(ranked[:own])}, int(sums[0] or 0), int(sums[1]), int(sums[2] or 0), total, distinct)
     total[0], distinct[0] = v.ends, 1
@@ -237,8 +245,8 @@ def trained(texts: DataFrame, v: Vocabulary, sample: list[str], rounds: int = RO
                     sums[i] = sums[i] + x if i in sums else x
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
-        partial = texts.mapInArrow(expect, "part int, counts binary").repartition(F.col("part"))
-        got = {r["part"]: np.frombuffer(r["counts"]) for r in partial.mapInArrow(total, "part int, counts binary").collect()}
+        partial = texts.mapInArrow(lean(expect), "part int, counts binary").repartition(F.col("part"))
+        got = {r["part"]: np.frombuffer(r["counts"]) for r in partial.mapInArrow(lean(total), "part int, counts binary").collect()}
         if not got:
             break
         e = Expected(STATES, symbols)
@@ -283,7 +291,7 @@ def scored(docs: DataFrame, counts: DataFrame, v: Vocabulary, m: Model, text: st
             columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(like + np.array(own), pa.float64())]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=["_id", "_n", "_known", "_base", "_score", "_rest"])
 
-    rows = stash(source.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
+    rows = stash(source.mapInArrow(lean(run), schema).withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
     asked = rows.select("_row", F.explode("_rest").alias("_word"))
     answered = asked.join(counts.select(F.col("word").alias("_w"), "n"), F.col("_word") == F.col("_w"), "left")
     log = F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)
@@ -302,7 +310,7 @@ def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = docs.filter(fold != 1)
     counts = stash(word_counts(learn.select("text")), "lm-counts")
     v = vocabulary(counts)
-    sample = [r["text"] for r in learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS).select("text").collect()]
+    sample = [r["text"] for r in bounded_sample(learn, F.col("doc_id"), START_DOCS).select("text").collect()]
     m = trained(learn.select("text"), v, sample)
     got = scored(docs, counts, v, m)
     return got.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), "base_score", "score")
