@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stash, table
+from .common import lean, shared_dir, stash, table
 
 REVISIT_BYTES = 1000
 #: Payload bytes in an archive, at which the next one is begun.
@@ -132,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str, payload: str = "html", page_id
         if made:
             yield put(made)
 
-    return stash(ready.mapInArrow(write, "path string, n_records long, n_bytes long"), "warc-list")
+    return stash(ready.mapInArrow(lean(write), "path string, n_records long, n_bytes long"), "warc-list")
 
 
 def read_archives(written: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
@@ -165,8 +165,9 @@ def read_archives(written: DataFrame, folder: str, with_payload: bool = False) -
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    listed = written.select("path").repartition(F.col("path"))
-    return listed.mapInArrow(read, schema)
+    # a task an archive (by number, so that Spark doesn't join tasks whose rows are short)
+    listed = written.select("path").repartition(max(1, written.count()))
+    return listed.mapInArrow(lean(read), schema)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
