@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import lean, stash
 
 #: Nodes that a task links before it passes their forest on.
 HELD = 500_000
@@ -55,7 +55,7 @@ def forest(edges: DataFrame) -> DataFrame:
         if f.up:
             yield made(f)
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -68,10 +68,11 @@ def components(edges: DataFrame) -> DataFrame:
     e = stash(forest(edges.filter("a <> b")), "links")
     for _ in range(MAX_ROUNDS):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("n")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # nodes with a lesser neighbour; written, as Spark splits a hub's rows only where both sides come from exchanges
+        least = stash(both.groupBy("a").agg(F.min("b").alias("m")).filter("m < a").select(F.col("a").alias("n"), "m"), "least")
+        large = e.join(least, F.col("b") == F.col("n"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         large = stash(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
+        low = stash(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "low")
         small = large.join(low, F.col("a") == F.col("n")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = stash(small.unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "small-star")
         # done if every node has one edge, to a node without one

@@ -35,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import lean, stash, table
 from .components import components, forest
 
 WORDS = 5
 PERCENT = 80
 #: Tokens that a task holds before it passes on a run, and documents (their numbers take 16 bits).
-RUN_TOKENS, RUN_DOCS = 2_000_000, 60_000
+RUN_TOKENS, RUN_DOCS = 1_000_000, 60_000
 #: Cost of verifying a candidate, in postings read; longest match asked for.
 VERIFY, MOST_MATCHES = 8.0, 64
 FAMILY = 256
@@ -144,7 +144,7 @@ def _runs(docs: DataFrame, id_name: str, text: str, n_cells: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {_SIGN}")
+    return source.mapInArrow(lean(run), f"id {source.schema['id'].dataType.simpleString()}, {_SIGN}")
 
 
 def _shared_tokens(rows: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
         if out:
             yield _batch(out, id_type)
 
-    return rows.mapInArrow(merge, rows.schema)
+    return rows.mapInArrow(lean(merge), rows.schema)
 
 
 def _survivors(rows: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +228,7 @@ def _survivors(rows: DataFrame, percent: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["n", "s1", "s2", "tokens", "df"])
 
-    return rows.mapInArrow(gather, "n long, s1 long, s2 long, tokens binary, df binary")
+    return rows.mapInArrow(lean(gather), "n long, s1 long, s2 long, tokens binary, df binary")
 
 
 def _prefix(tokens: bytes, df: bytes, n: int, percent: int) -> tuple[np.ndarray, int]:
@@ -246,7 +246,7 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
             for i in range(0, len(t), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(t[i : i + (1 << 16)]), pa.array(k[i : i + (1 << 16)])], names=["token", "k"])
 
-    return sets.select("k", "n", "tokens", "df").mapInArrow(run, "token long, k long")
+    return sets.select("k", "n", "tokens", "df").mapInArrow(lean(run), "token long, k long")
 
 
 def _matched(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -323,7 +323,7 @@ def _links(dealt: DataFrame, percent: int) -> DataFrame:
         if made:
             yield put()
 
-    return dealt.mapInArrow(run, "a long, b long, links long")
+    return dealt.mapInArrow(lean(run), "a long, b long, links long")
 
 
 def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
