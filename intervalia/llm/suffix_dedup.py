@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import lean, stash, table
 
 LENGTH = 200
 GRAM = 72
@@ -197,11 +197,12 @@ def _runs(keyed: DataFrame, n_cells: int, chunk: int) -> DataFrame:
                     k1, k2, r, x = k1.as_py(), k2.as_py(), r.as_py(), (t.as_py() or "").encode()
                     if len(x) < LENGTH:
                         continue
-                    if copied := (k1, k2) in seen:  # noqa: B023
-                        rows.append((number, None, k1, k2, r, len(x), copied, None, None))  # noqa: B023
+                    if (k1, k2) in seen:  # noqa: B023
+                        for row in {seen[k1, k2], r}:  # noqa: B023
+                            rows.append((number, None, k1, k2, row, len(x), True, None, None))  # noqa: B023
                         continue
-                    seen[k1, k2] = len(seen)  # noqa: B023
-                    rows.append((number, len(seen) - 1, k1, k2, r, len(x), copied, None, None))  # noqa: B023
+                    seen[k1, k2] = r  # noqa: B023
+                    rows.append((number, len(seen) - 1, k1, k2, r, len(x), False, None, None))  # noqa: B023
                     new.append(len(seen) - 1)  # noqa: B023
                     yield x
 
@@ -216,7 +217,7 @@ def _runs(keyed: DataFrame, n_cells: int, chunk: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return keyed.mapInArrow(run, _ROWS)
+    return keyed.mapInArrow(lean(run), _ROWS)
 
 
 def _occurrences(rows: DataFrame, most: int) -> DataFrame:
@@ -268,7 +269,7 @@ def _occurrences(rows: DataFrame, most: int) -> DataFrame:
         if out:
             yield _batch(out)
 
-    return rows.mapInArrow(merge, _ROWS)
+    return rows.mapInArrow(lean(merge), _ROWS)
 
 
 def _per_text(rows: DataFrame) -> DataFrame:
@@ -318,7 +319,7 @@ def _per_text(rows: DataFrame) -> DataFrame:
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=names)
 
-    return rows.mapInArrow(gather, "k1 long, k2 long, r long, spans binary, places binary, grams binary, parts binary, bigs binary")
+    return rows.mapInArrow(lean(gather), "k1 long, k2 long, r long, spans binary, places binary, grams binary, parts binary, bigs binary")
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -431,10 +432,11 @@ def _suffix_runs(texts: DataFrame, n_cells: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(b, pa.binary())], names=["cell", "body"])
 
         for b in batches:
-            for k1, k2, t, places, grams, parts, bigs in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text", "places", "grams", "parts", "bigs")), strict=True):
+            for row in zip(*(b.column(c) for c in ("k1", "k2", "r", "text", "places", "grams", "parts", "bigs")), strict=True):
+                k1, k2, r, t, places, grams, parts, bigs = (v.as_py() for v in row)  # a text at a time
                 x = t.encode()
                 for p, g, part, big in zip(np.frombuffer(places, np.int64).tolist(), np.frombuffer(grams, np.uint64).tolist(), np.frombuffer(parts, np.int32).tolist(), np.frombuffer(bigs, np.bool_).tolist(), strict=True):
-                    head = b"%c%c" % (big, 0) + part.to_bytes(4, "big") + p.to_bytes(8, "big") + k1.to_bytes(8, "big", signed=True) + k2.to_bytes(8, "big", signed=True)
+                    head = b"%c%c" % (big, 0) + part.to_bytes(4, "big") + b"".join(v.to_bytes(8, "big", signed=True) for v in (p, k1, k2, r))
                     # the part leads the rest, so that equal suffixes of a group's parts stay apart when cells hold several
                     item = (x[p : p + LENGTH], head + x[max(0, p - REACH) : p])
                     cells.setdefault((g + part * 7919) % n_cells, []).append(item)
@@ -445,37 +447,41 @@ def _suffix_runs(texts: DataFrame, n_cells: int) -> DataFrame:
         if cells:
             yield from put()
 
-    return texts.mapInArrow(run, "cell int, body binary")
+    return texts.mapInArrow(lean(run), "cell int, body binary")
 
 
 def repeated_strings(group: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Of (suffix, bytes before it) with equal k-grams: which strings (row: suffix, column: bytes after the earliest
     start, REACH before the suffix) are found in two rows or more, and the hashes of all that are whole (0: not)."""
-    m = np.zeros((len(group), REACH + LENGTH), np.uint8)
-    for i, (suffix, before) in enumerate(group):
-        m[i, REACH - len(before) : REACH] = np.frombuffer(before, np.uint8)
-        m[i, REACH : REACH + len(suffix)] = np.frombuffer(suffix, np.uint8)
-    sums = np.zeros((len(group), REACH + LENGTH + 1), np.uint64)
-    np.cumsum(_Hasher.TABLE[m] * _Hasher.COLUMNS, axis=1, out=sums[:, 1:])
-    h = sums[:, LENGTH:] - sums[:, : REACH + 1]
+    h = np.zeros((len(group), REACH + 1), np.uint64)
     column = np.arange(REACH + 1)
-    left = np.array([len(x) for _, x in group])[:, None]
-    right = np.array([len(x) for x, _ in group])[:, None]
-    whole = (column >= REACH - left) & (column + LENGTH <= REACH + right)
-    h[~whole] = 0
-    order = np.argsort(h, axis=0, kind="stable")
-    s = np.take_along_axis(h, order, 0)
-    same = (s[1:] == s[:-1]) & (s[1:] != 0)
-    twice = np.zeros_like(whole)
-    twice[1:] |= same
-    twice[:-1] |= same
-    found = np.zeros_like(whole)
-    np.put_along_axis(found, order, twice, 0)
-    return found & whole, h
+    for lo in range(0, len(group), 1024):  # rows, then columns at a time: only the hashes are held for all
+        some = group[lo : lo + 1024]
+        m = np.zeros((len(some), REACH + LENGTH), np.uint8)
+        for i, (suffix, before) in enumerate(some):
+            m[i, REACH - len(before) : REACH] = np.frombuffer(before, np.uint8)
+            m[i, REACH : REACH + len(suffix)] = np.frombuffer(suffix, np.uint8)
+        sums = np.zeros((len(some), REACH + LENGTH + 1), np.uint64)
+        np.cumsum(_Hasher.TABLE[m] * _Hasher.COLUMNS, axis=1, out=sums[:, 1:])
+        left = np.array([len(x) for _, x in some])[:, None]
+        right = np.array([len(x) for x, _ in some])[:, None]
+        whole = (column >= REACH - left) & (column + LENGTH <= REACH + right)
+        h[lo : lo + 1024] = np.where(whole, sums[:, LENGTH:] - sums[:, : REACH + 1], np.uint64(0))
+    found = np.zeros(h.shape, bool)
+    for lo in range(0, REACH + 1, 16):
+        part = np.ascontiguousarray(h[:, lo : lo + 16])
+        order = np.argsort(part, axis=0, kind="stable")
+        s = np.take_along_axis(part, order, 0)
+        same = (s[1:] == s[:-1]) & (s[1:] != 0)
+        twice = np.zeros(part.shape, bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        np.put_along_axis(found[:, lo : lo + 16], order, twice, 0)
+    return found, h
 
 
 def _found(runs: DataFrame) -> DataFrame:
-    """k1, k2, start, stop of repeated strings; for parts of big groups also, with `string`, all that may repeat elsewhere."""
+    """k1, k2, r, start, stop of repeated strings; for parts of big groups also, with `string`, all that may repeat elsewhere."""
 
     def solve(group: list[tuple[bytes, bytes]], out: list[list]) -> None:
         by_part: dict[bytes, list[tuple[bytes, bytes]]] = {}
@@ -485,21 +491,21 @@ def _found(runs: DataFrame) -> DataFrame:
             big = some[0][1][0]
             if len(some) < 2 and not big:
                 continue
-            found, h = repeated_strings([(s, r[30:]) for s, r in some])
+            found, h = repeated_strings([(s, r[38:]) for s, r in some])
             head = [r for _, r in some]
             at = np.array([int.from_bytes(r[6:14], "big") for r in head]) - REACH
-            k1, k2 = (np.array([int.from_bytes(r[i : i + 8], "big", signed=True) for r in head]) for i in (14, 22))
+            keys = np.array([[int.from_bytes(r[i : i + 8], "big", signed=True) for i in (14, 22, 30)] for r in head])
             edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             row, first = np.nonzero(edge == 1)
             last = np.nonzero(edge == -1)[1] - 1
             if len(row):
-                out.append([k1[row], k2[row], at[row] + first, at[row] + last + LENGTH, None])
+                out.append([*keys[row].T, at[row] + first, at[row] + last + LENGTH, None])
             if big:
                 _, one = np.unique(h, return_index=True)  # a string of each kind
                 row, column = np.unravel_index(one, h.shape)
                 row, column = row[h[row, column] != 0], column[h[row, column] != 0]
                 name = h[row, column] * np.uint64(_ODD) + column.astype(np.uint64)
-                out.append([k1[row], k2[row], at[row] + column, at[row] + column + LENGTH, name.astype(np.int64)])
+                out.append([*keys[row].T, at[row] + column, at[row] + column + LENGTH, name.astype(np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: dict[int, list[bytes]] = {}
@@ -524,31 +530,36 @@ def _found(runs: DataFrame) -> DataFrame:
             yield made(out)
 
     def made(out: list[list]) -> pa.RecordBatch:
-        four = [pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(4)]
-        string = pa.concat_arrays([pa.nulls(len(o[0]), pa.int64()) if o[4] is None else pa.array(o[4], pa.int64()) for o in out])
-        return pa.RecordBatch.from_arrays([*four, string], names=["k1", "k2", "start", "stop", "string"])
+        five = [pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(5)]
+        string = pa.concat_arrays([pa.nulls(len(o[0]), pa.int64()) if o[5] is None else pa.array(o[5], pa.int64()) for o in out])
+        return pa.RecordBatch.from_arrays([*five, string], names=["k1", "k2", "r", "start", "stop", "string"])
 
-    return runs.mapInArrow(run, "k1 long, k2 long, start long, stop long, string long")
+    return runs.mapInArrow(lean(run), "k1 long, k2 long, r long, start long, stop long, string long")
 
 
 def repeated_spans(keyed: DataFrame, group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
-    """k1, k2, spans: (start, stop) of the bytes to remove, from rows (k1, k2: key of the text, r: of the row, text)."""
+    """k1, k2, r, and in packed and more the spans (start, stop) of the bytes to remove, from rows (k1, k2: key of the
+    text, r: of the row, text).
+
+    Rows with any span are named one by one, copies too (a copied text is removed whole, so no copy needs what is found
+    for another): the joins with the texts have no key that many rows share.
+    """
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _runs(keyed, max(64, 4 * parts), chunk).repartition(parts, F.coalesce(F.col("cell").cast("long"), F.xxhash64("run", "k1")))
+    rows = _runs(keyed, max(64, 4 * parts), chunk).repartition(parts, F.coalesce(F.col("cell").cast("long"), F.xxhash64("run", "k1", "r")))
     found = stash(_occurrences(rows, group), "suffix-anchors")
     texts = stash(_per_text(found.repartition(parts, F.col("run"))), "suffix-texts")
     sort = texts.filter("places IS NOT NULL").select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("r").alias("p_r"), "places", "grams", "parts", "bigs")
-    # of copies, the row whose anchors were chosen (r is compared after the join, so that its key is the text's)
-    here = keyed.join(sort, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")) & (F.col("r") <= F.col("p_r")) & (F.col("r") >= F.col("p_r")))
-    runs = _suffix_runs(here.select("k1", "k2", "text", "places", "grams", "parts", "bigs"), 4 * parts).repartition(parts, F.col("cell"))
+    here = keyed.join(sort, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")) & (F.col("r") == F.col("p_r")))
+    runs = _suffix_runs(here.select("k1", "k2", "r", "text", "places", "grams", "parts", "bigs"), 4 * parts).repartition(parts, F.col("cell"))
     strings = stash(_found(runs), "suffix-strings")
     again = strings.filter("string IS NOT NULL")
     twice = again.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("string").alias("s"))
-    across = again.join(twice, F.col("string") == F.col("s")).select("k1", "k2", "start", "stop")
-    pair = lambda df: df.select("k1", "k2", F.struct("start", "stop").alias("span"))
-    spans = pair(strings.filter("string IS NULL")).unionByName(pair(across)).groupBy("k1", "k2").agg(F.collect_set("span").alias("more"))
-    settled = texts.groupBy("k1", "k2").agg(F.collect_set("spans").alias("packed"))
-    return settled.join(spans.select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), "more"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").drop("m1", "m2")
+    across = again.join(twice, F.col("string") == F.col("s")).select("k1", "k2", "r", "start", "stop")
+    pair = lambda df: df.select("k1", "k2", "r", F.struct("start", "stop").alias("span"))
+    more = pair(strings.filter("string IS NULL")).unionByName(pair(across)).groupBy("k1", "k2", "r").agg(F.collect_set("span").alias("more"))
+    more = more.select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col("r").alias("m_r"), "more")
+    settled = texts.groupBy("k1", "k2", "r").agg(F.collect_set("spans").alias("packed"))
+    return settled.join(more, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")) & (F.col("r") == F.col("m_r")), "left").drop("m1", "m2", "m_r")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", row_key: str = "doc_id", outputs: tuple[str, ...] = ("kept", "spans"), carry: list[str] | None = None, group: int = GROUP, chunk: int = CHUNK) -> DataFrame:
@@ -560,7 +571,7 @@ def deduplicated(docs: DataFrame, text: str = "text", row_key: str = "doc_id", o
     keys = {"_k1": F.xxhash64(F.col(text)), "_k2": F.xxhash64(F.lit("second"), F.col(text)), "_r": F.xxhash64(F.col(row_key))}
     keyed = docs.select(*carry, F.col(text).alias("_text"), *(v.alias(k) for k, v in keys.items()))
     spans = repeated_spans(keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_r").alias("r"), F.col("_text").alias("text")), group, chunk)
-    both = keyed.join(spans, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
+    both = keyed.join(spans, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")) & (F.col("_r") == F.col("r")), "left")
     source = both.select(*carry, "_text", "packed", "more")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(carry)]] + [f"{o} {kinds[o]}" for o in outputs])
 
@@ -589,7 +600,7 @@ def deduplicated(docs: DataFrame, text: str = "text", row_key: str = "doc_id", o
                     made[o].append(row[o])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], *(pa.array(made[o], arrow[o]) for o in outputs)], names=[*b.schema.names[: len(carry)], *outputs])
 
-    return source.mapInArrow(cut, schema)
+    return source.mapInArrow(lean(cut), schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
