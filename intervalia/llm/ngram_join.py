@@ -286,6 +286,18 @@ def linked_in_family(n: np.ndarray, tokens: list[np.ndarray], prefixes: list[np.
     return np.stack([i[linked], j[linked]], 1)
 
 
+def least_labels(n: int, pairs: np.ndarray) -> np.ndarray:
+    """For each of n sets the least that it is linked with, itself or through others."""
+    up = np.arange(n)
+    while len(pairs):  # a root hangs from a lesser one, so that all that hangs from it comes along; no link is undone
+        a, b = up[pairs[:, 0]], up[pairs[:, 1]]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+        pairs = pairs[up[pairs[:, 0]] != up[pairs[:, 1]]]
+    return up
+
+
 def _links(dealt: DataFrame, percent: int) -> DataFrame:
     """(a, b) of linked sets, as a forest of each family or pair of blocks, and (a, links) with each set's links."""
 
@@ -297,13 +309,7 @@ def _links(dealt: DataFrame, percent: int) -> DataFrame:
             pairs = pairs[side[pairs[:, 0]] != side[pairs[:, 1]]]
         links = np.bincount(pairs[:, 0], copies[pairs[:, 1]], len(k)) + np.bincount(pairs[:, 1], copies[pairs[:, 0]], len(k))
         made += [(int(k[i]), None, int(links[i])) for i in np.flatnonzero(links)]
-        up = np.arange(len(k))
-        while len(pairs):  # least labels until every pair agrees; a set's label is one it is linked with
-            low = np.minimum(up[pairs[:, 0]], up[pairs[:, 1]])
-            np.minimum.at(up, pairs[:, 0], low)
-            np.minimum.at(up, pairs[:, 1], low)
-            up = up[up]
-            pairs = pairs[up[pairs[:, 0]] != up[pairs[:, 1]]]
+        up = least_labels(len(k), pairs)
         made += [(int(k[i]), int(k[up[i]]), None) for i in np.flatnonzero(up != np.arange(len(k)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,6 +100,30 @@ def test_join_against_all_pairs(spark, monkeypatch, block):
     assert [r["component_id"] for r in got] == top and len(set(top)) < len(texts) - 60
 
 
+def successive(rng, n, words=60):
+    """Texts of which each goes on six words after the one before: only neighbours are alike."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words + 6 * n)]
+    return [" ".join(base[6 * i : 6 * i + words]) for i in range(n)]
+
+
+def test_join_of_chains(spark):
+    rng = random.Random(5)
+    texts = [t for n in (5, 9, 30, 70) for t in successive(rng, n)]
+    rng.shuffle(texts)
+    sets, links, top = joined_plainly(texts)
+    assert len(links) == len(texts) - 4 and len(set(top)) == 4
+    got = ngram_join.joined(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()
+    degree = Counter(chain.from_iterable(links))
+    assert [(r["component_id"], r["n_links"]) for r in got] == [(t, degree[i]) for i, t in enumerate(top)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.permutations(range(12)), st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11)), max_size=8), st.integers(1, 12))
+def test_least_labels(order, more, length):
+    for links in ([(0, 4), (1, 2), (2, 3), (3, 4)], [*zip(order[:length], order[1:length], strict=False), *more]):
+        assert ngram_join.least_labels(12, np.array(links, np.int64).reshape(-1, 2)).tolist() == least_reachable(12, links)
+
+
 def test_join_of_odd_rows(odd):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.joined(odd).collect()), key=str)
     sets, links, top = joined_plainly([r[1] for r in CASES])
