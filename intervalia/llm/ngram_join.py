@@ -383,10 +383,22 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near copies, the document of least id."""
-    got = stash(joined(docs), "ngram-classes")
-    gone = got.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Pipeline stage: of each class of near copies, the row of least id.
+
+    Defined cases: rows are told apart by 128 bits of all their columns. Of rows that share the least id, that of least
+    bits stays; of rows alike in every column, one; a row whose doc_id is null comes after all others of its class;
+    documents without a shingle are in no class, and all stay.
+    """
+    cells = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]  # a hash passes over nulls
+    rows = docs.withColumns({"_row1": F.xxhash64(*cells), "_row2": F.xxhash64(F.lit("second"), *cells)})
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row1").alias("h1"), F.col("_row2").alias("h2"))
+    got = stash(joined(rows.select(row.alias("_row"), "text"), doc_id="_row").filter("n_shingles > 0").select("_row", "component_id"), "ngram-classes")
+    # of each row that has to go or is repeated, once: whether one of it stays
+    apart = got.groupBy(F.col("_row.h1").alias("_h1"), F.col("_row.h2").alias("_h2")).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("_row") == F.col("component_id")).alias("_stays"))
+    apart = stash(apart.filter("_n > 1 OR NOT _stays").select("_h1", "_h2", "_stays"), "ngram-apart")
+    on = (F.col("_row1") == F.col("_h1")) & (F.col("_row2") == F.col("_h2"))
+    one = rows.join(apart.filter("_stays"), on, "left_semi").dropDuplicates(["_row1", "_row2"])
+    return rows.join(apart, on, "left_anti").unionByName(one).select(*docs.columns)
 
 
 SQL = None

@@ -139,6 +139,17 @@ def test_join_of_odd_rows(odd):
     assert kept.columns == odd.columns and {2, 7}.isdisjoint({r["doc_id"] for r in kept.collect()})
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    near, far, alone = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(1, near, "x"), (1, near, "x"), (2, near, "x"), (None, near, "x"), (3, far, "x"), (2, alone, "x"), (None, alone, "x")]
+    rows += [(None, "only null", None), (None, "only null", None), (4, "two", None), (4, "two", "x"), (5, "", "x"), (5, "", "x"), (6, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = Counter(tuple(r) for r in ngram_join.keep_one_of_each(spark, docs, "").collect())
+    two = [r for r in got if r[0] == 4]
+    assert len(two) == 1 and got.pop(two[0]) == 1
+    assert got == Counter([(1, near, "x"), (3, far, "x"), (2, alone, "x"), (None, "only null", None), (5, "", "x"), (5, "", "x"), (6, None, "x")])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(2, 50), min_size=1, max_size=80), st.integers(0, 20))
 def test_prefix_has_the_tokens_asked_for(df, unique):
