@@ -78,12 +78,12 @@ def deviation_gate(rows: DataFrame, part: Cols, value: str, least: int = 6, most
     return med.join(mad, part).withColumn("accepted", ok)
 
 
-def same_row_groups(rows: DataFrame, page: Cols, key: str, top: str, bottom: str, order: Cols, height_ratio: float = 0.55, centre: float = 0.45, overlap: float = 0.30, rounds: int = 12) -> DataFrame:
+def same_row_groups(rows: DataFrame, page: Cols, key: str, top: str, bottom: str, order: Cols, height_ratio: float = 0.55, centre: float = 0.45, overlap: float = 0.30, rounds: int = 60) -> DataFrame:
     """rows with row_head: the first (in order) of those that lie in one visual row with them, directly or through others.
 
-    Two rows match if their heights, centres and common part are alike. Heads spread from neighbour to neighbour, and
-    from a head to its own, until no two matching rows have different ones: twice the reach a round, so `rounds` do
-    for 2^rounds rows side by side. Each round is written to the shared folder.
+    Two rows match if their heights, centres and common part are alike. Heads spread from neighbour to neighbour and to
+    the heads that these had, which take along what they head, until no two matching rows have different ones; an error
+    if `rounds` don't do. Each round is written to the shared folder.
     """
     first = F.row_number().over(Window.partitionBy(*page).orderBy(*order))
     a = rows.select(*page, F.col(key).alias("_a"), F.col(top).alias("_at"), F.col(bottom).alias("_ab"), first.alias("_ai"))
@@ -99,10 +99,15 @@ def same_row_groups(rows: DataFrame, page: Cols, key: str, top: str, bottom: str
     heads = stash(links.groupBy(*page, "_x").agg(F.min("_y").alias("_h")), "row-heads")
     for _ in range(rounds):
         step = links.join(heads.select(*page, F.col("_x").alias("_y"), F.col("_h").alias("_g")), [*page, "_y"]).groupBy(*page, "_x").agg(F.min("_g").alias("_h"))
-        jump = heads.select(*page, F.col("_x").alias("_h"), F.col("_h").alias("_j"))
+        # what a row has come to know goes to its old head, too
+        told = step.withColumnRenamed("_h", "_g").join(heads, [*page, "_x"]).select(*page, F.col("_h").alias("_x"), F.col("_g").alias("_h"))
+        step = stash(step.unionByName(told).groupBy(*page, "_x").agg(F.min("_h").alias("_h")), "row-steps")
+        jump = step.select(*page, F.col("_x").alias("_h"), F.col("_h").alias("_j"))
         heads = stash(step.join(jump, [*page, "_h"]).select(*page, "_x", F.least("_h", "_j").alias("_h")), "row-heads")
         x = links.join(heads.select(*page, "_x", F.col("_h").alias("_hx")), [*page, "_x"]).join(heads.select(*page, F.col("_x").alias("_y"), F.col("_h").alias("_hy")), [*page, "_y"])
         if not x.filter("_hx <> _hy").limit(1).collect():
             break
+    else:
+        raise RuntimeError("row heads did not settle")
     named = heads.join(a.select(*page, F.col("_ai").alias("_x"), F.col("_a").alias(key)), [*page, "_x"]).join(a.select(*page, F.col("_ai").alias("_h"), F.col("_a").alias("row_head")), [*page, "_h"])
     return rows.join(named.select(*page, key, "row_head"), [*page, key])

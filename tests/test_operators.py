@@ -37,6 +37,16 @@ def test_neighbours_and_rows(spark):
     assert rows(layout.repeated_later(starts, ["page"], ["i"], "v"), "v", "n_later") == [("42", 3)]
 
 
+def test_rows_against_their_order(spark):
+    """A chain whose first row is at one end, while the order falls away from it."""
+    n = 40
+    chain = [(1, i, 4.0 * i, 4.0 * i + 10, 0 if i == 0 else n - i) for i in range(n)]
+    df = spark.createDataFrame(chain, "page int, k int, t double, b double, i int")
+    assert set(rows(layout.same_row_groups(df, ["page"], "k", "t", "b", ["i"]), "row_head")) == {(0,)}
+    with pytest.raises(RuntimeError):
+        layout.same_row_groups(df, ["page"], "k", "t", "b", ["i"], rounds=1)
+
+
 def test_deviation_gate(spark):
     df = spark.createDataFrame([("a", x) for x in (0.1, 0.2, 0.2, 0.3, 0.1, 0.2)] + [("b", 0.2)], "p string, v double")
     assert {r["p"]: r["accepted"] for r in layout.deviation_gate(df, ["p"], "v").collect()} == {"a": True, "b": False}
