@@ -44,7 +44,9 @@ def rotation(sample: np.ndarray) -> np.ndarray:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
+    # by a power of two, which is exact: the squares of very small or large numbers don't fit a double
+    scaled = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
+    return scaled / np.sqrt((scaled * scaled).sum(1))[:, None]
 
 
 def _unpack(values: list[bytes], dim: int) -> np.ndarray:

@@ -192,3 +192,9 @@ def test_grid_against_all_pairs(spark):
     for _ in range(len(x)):
         label = np.minimum(label, np.where(near, label[None, :], len(x)).min(1))
     assert [got[i]["component_id"] for i in range(len(x))] == label.tolist()
+
+
+def test_grid_of_very_small_and_large_vectors(spark):
+    v = [[3.0, 4.0], [3e-170, 4e-170], [3e200, 4e200], [3e-320, 4e-320], [-4.0, 3.0], [-4e-170, 3e-170]]
+    got = epsilon_grid.joined(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")).orderBy("vec_id").collect()
+    assert [(r["n_links"], r["component_id"]) for r in got] == [(3, 0)] * 4 + [(1, 4)] * 2
