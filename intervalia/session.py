@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,8 +34,10 @@ def local_session(cores: str | int = "*", memory: str = "8g", **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share; one of our own only where none is named and all run on this machine."""
     if not (where := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="intervalia-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
