@@ -14,26 +14,31 @@ from intervalia.session import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules: quality_rules.filter_documents, with its defined cases."""
     ship(spark)
     return quality_rules.filter_documents(spark, docs, sf_dir)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies, the one of least doc_id: ngram_join.keep_one_of_each."""
     ship(spark)
     return ngram_join.keep_one_of_each(spark, docs, sf_dir)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that repeat: suffix_dedup.cut_documents."""
     ship(spark)
     return suffix_dedup.cut_documents(spark, docs, sf_dir)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for every time that the mix takes a document, a partition a shard: mixing.mix_documents."""
     ship(spark)
     return mixing.mix_documents(spark, docs, sf_dir)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the bytes decoded from them: bpe.encode_documents."""
     ship(spark)
     return bpe.encode_documents(spark, docs, sf_dir)
 
@@ -42,6 +47,8 @@ STAGES = [("quality_rules", quality), ("ngram_join", near_copies), ("suffix_dedu
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each but the last is written to the shared folder, where lineage ends. An empty table gives
+    an empty result; nulls, repeated rows and other columns are as each stage defines."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
