@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,20 @@ class Forest:
         return nodes, [self.root(x) for x in nodes]
 
 
+def joined_labels(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """up (for each of a set the least that it is known to be linked with), with links a[i] - b[i] added.
+
+    A root hangs from a lesser one, so that all that hangs from it comes along; no link is undone."""
+    while len(a):
+        x, y = up[a], up[b]
+        differ = x != y
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up[up] != up).any():
+            up = up[up]
+    return up
+
+
 def forest(edges: DataFrame) -> DataFrame:
     """Fewer edges (a > b) that link the same: each task's own forest."""
 
