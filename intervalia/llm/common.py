@@ -66,5 +66,10 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def packed(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """`doc`, a struct of all columns, and those named: whatever else docs has can't clash; `doc.*` brings it back."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *columns)
+
+
 def without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
