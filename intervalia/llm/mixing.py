@@ -3,34 +3,39 @@
 Targets are found by water-filling: sources share the wanted total by weight, none beyond its limit.
 A source's documents are dealt into blocks by a hash, which is a random permutation of them. A target
 of several times the source's size takes every block that often, and what is left takes a prefix of
-the permuted blocks (the last of them in part). The drawn blocks of all sources are the quotas of a
+the permuted blocks (the last of them up to a cut). The drawn blocks of all sources are the quotas of a
 multivariate-hypergeometric splitting tree: each node halves its output shards and draws how many
 blocks of each source go left, so every shard gets a share that a uniform shuffle could have given
-it and the quotas stay exact. Shards then take disjoint runs of each source's permuted blocks, and a
-document's place inside its shard comes from a hash, so that each shard is shuffled locally.
+it and the quotas stay exact. Shards then take disjoint runs of each source's permuted blocks. laid_out()
+brings the documents of a shard together, in the order of a hash: each shard is shuffled locally.
 
-Only tables of sources (quotas, tree) and of blocks (at most MAX_BLOCKS a source and pass) are ever
-gathered by source; documents are shuffled once, by source and block.
+The mix has as many shards as its words ask for (SHARD_WORDS; MIN_SHARDS at least), and a source
+BLOCKS_A_SHARD blocks for each. Only rows of sources and of blocks are ever gathered by source, and the
+documents of one block of each, where the cut is; documents meet the table of blocks once.
 
 Defined cases: a null text has size 0; null sources form one source, sorted last; documents of size 0
 take nothing; a null doc_id is hashed as the empty text; rows that repeat a doc_id are documents of
-their own; an empty table gives an empty mix; columns of the input don't clash, as own ones are prefixed.
+their own, but rows alike in id and text are one lot at the cut; very long texts count whole, and one
+may miss its source's target by half its size; an empty table gives an empty mix; input columns that
+are carried must not be named like OWN (mix_documents takes any).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, stash, table, word_count
+from .common import let, packed, stash, table, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 LIMIT = 2
-SHARDS = 16
-#: Documents in a block, as long as a source has no more than MAX_BLOCKS blocks.
-BLOCK_DOCS = 64
-MAX_BLOCKS = 65_536
+MIN_SHARDS, SHARD_WORDS = 16, 128_000_000
+BLOCKS_A_SHARD = 64
+#: Columns that mixed() adds, or needs on the way.
+OWN = ("_size", "_source_size", "_target", "_draws", "_dice", "_source", "_block")
 SEED = "mix-1"
 
 
@@ -67,8 +72,14 @@ def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, budget: float =
 
 
 def _hypergeometric(drawn: Column, good: Column, total: Column, u: Column) -> Column:
-    """How many of `drawn` balls are good, for a uniform u: inverse of the distribution, summed in logarithms."""
-    low, high = F.greatest(F.lit(0).cast("long"), drawn - (total - good)), F.least(good, drawn)
+    """How many of `drawn` balls are good, for a uniform u: inverse of the distribution, summed in logarithms.
+
+    Counts over 40 deviations from the mean are passed over: their shares are 0 in double precision.
+    """
+    share = good / F.greatest(total, F.lit(1))
+    mean, most = drawn * share, 40 * F.sqrt(drawn * share * (1 - share)) + 40
+    low = F.greatest(F.lit(0).cast("long"), drawn - (total - good), F.floor(mean - most).cast("long"))
+    high = F.least(good, drawn, F.ceil(mean + most).cast("long"))
 
     def step(k: Column) -> Column:
         """Log of the ratio of the probabilities of k and k - 1."""
@@ -100,7 +111,7 @@ def _hypergeometric(drawn: Column, good: Column, total: Column, u: Column) -> Co
     return let(low, by)
 
 
-def split_quotas(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
+def split_quotas(quotas: DataFrame, shards: int = MIN_SHARDS) -> DataFrame:
     """_source, _blocks -> one row a source with _ends: after shard i, how many of its blocks are dealt."""
     if shards & (shards - 1):
         raise ValueError("shards must be a power of two")
@@ -127,48 +138,76 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
     return per.select("_source", sums.alias("_ends"))
 
 
-def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", carry: list[str] | None = None, shards: int = SHARDS) -> DataFrame:
+def shards_for(words: int, budget: float = BUDGET) -> int:
+    """Output shards of a mix out of so many words: a power of two."""
+    return max(MIN_SHARDS, 1 << math.ceil(math.log2(max(1.0, budget * words / SHARD_WORDS))))
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", carry: list[str] | None = None, shards: int | None = None) -> DataFrame:
     """The columns `carry` (all, if None) with _size, _source_size, _target and _draws.
 
-    _draws has an entry (pass, shard, place) for every time the mix takes the document: explode it
-    for the mixed corpus, write it by shard and sort by place.
+    _draws has an entry (pass, shard, place) for every time the mix takes the document; see laid_out().
     """
-    sized = docs.withColumns({"_size": word_count(F.col(text)), "_dice": _dice(F.col(doc_id)), "_source": F.col(source)})
-    rows = stash(sized.select(*(docs.columns if carry is None else carry), "_size", "_dice", "_source"), "mix-sizes")
-    sources = rows.groupBy("_source").agg(F.sum("_size").alias("_size"), F.count(F.lit(1)).alias("_docs"))
-    plan = source_targets(sources)
-    blocks_of = F.least(F.greatest(F.ceil(F.col("_docs") / BLOCK_DOCS), F.lit(1)), F.lit(MAX_BLOCKS)).cast("int")
+    return planned(docs, text, source, doc_id, carry, shards)[0]
+
+
+def planned(docs: DataFrame, text: str, source: str, doc_id: str, carry: list[str] | None, shards: int | None) -> tuple[DataFrame, int]:
+    """mixed(), and how many shards it has."""
+    carry = list(docs.columns) if carry is None else carry
+    if clash := set(carry) & set(OWN):
+        raise ValueError(f"columns {sorted(clash)} are the mix's own")
+    dice = _dice(F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    sized = docs.select(*carry, word_count(F.col(text)).alias("_size"), dice.alias("_dice"), F.col(source).alias("_source"))
+    slim = [] if text in carry or any(docs.schema[c].dataType.typeName() == "struct" for c in carry) else carry  # texts are read again, not written
+    rows = stash(sized.select(*slim, "_size", "_dice", "_source"), "mix-sizes")
+    sources = stash(rows.groupBy("_source").agg(F.sum("_size").alias("_size"), F.count(F.lit(1)).alias("_docs")), "mix-sources")
+    shards = shards or shards_for(sources.agg(F.sum("_size")).first()[0] or 0)
+    block = F.pmod(F.conv(F.substring("_dice", 1, 8), 16, 10).cast("long"), F.lit(BLOCKS_A_SHARD * shards)).cast("int")
     full = F.when(F.col("_size") > 0, F.floor(F.col("_target") / F.col("_size"))).otherwise(0).cast("int")
-    plan = stash(plan.select("_source", F.col("_size").alias("_source_size"), "_target", blocks_of.alias("_n_blocks"), full.alias("_full"), (F.col("_target") - full * F.col("_size")).alias("_rest")), "mix-targets")
-
-    dealt = rows.join(plan.select(F.col("_source").alias("_s"), "_n_blocks"), F.col("_source").eqNullSafe(F.col("_s")))
-    dealt = dealt.withColumn("_block", F.pmod(F.conv(F.substring("_dice", 1, 8), 16, 10).cast("long"), F.col("_n_blocks")).cast("int")).drop("_s", "_n_blocks")
+    plan = source_targets(sources).select(F.col("_source").alias("_s"), F.col("_size").alias("_source_size"), "_target", full.alias("_full"), (F.col("_target") - full * F.col("_size")).alias("_rest"))
+    plan = stash(plan, "mix-targets")
 
-    # blocks: where they begin in the source's permutation, and the shard of each time they are drawn
-    sums = dealt.groupBy("_source", "_block").agg(F.sum("_size").alias("_block_size"))
+    # where blocks begin in their source's permutation; the last one that begins before the rest's end holds the cut
+    in_blocks = rows.select("_source", block.alias("_block"), "_dice", "_size")
+    sums = in_blocks.groupBy("_source", "_block").agg(F.sum("_size").alias("_block_size"))
     begin = F.coalesce(F.sum("_block_size").over(Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = sums.withColumn("_begin", begin).join(plan.select(F.col("_source").alias("_s"), "_source_size", "_target", "_full", "_rest"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    blocks = stash(blocks, "mix-blocks")
+    blocks = stash(sums.withColumn("_begin", begin).join(plan, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-blocks")
+    edge = blocks.filter("_begin < _rest").groupBy(F.col("_source").alias("_s")).agg(F.max("_block").alias("_cut_block"), F.max_by("_begin", "_block").alias("_cut_begin"), F.max("_rest").alias("_cut_rest"))
+    edge = stash(edge, "mix-edges")
+    at_edge = in_blocks.join(edge, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_cut_block"))).drop("_source")
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_s").orderBy("_dice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a document is in the last pass if its middle lies before the rest's end
+    taken = at_edge.withColumn("_middle", F.col("_cut_begin") + before + F.col("_size") / 2).filter("_middle <= _cut_rest")
+    cut = taken.groupBy(F.col("_s").alias("_c")).agg(F.max("_dice").alias("_cut_dice"))
+    cut = stash(edge.join(cut, F.col("_s").eqNullSafe(F.col("_c")), "left").select("_s", "_cut_block", "_cut_dice"), "mix-cuts")
+
     passes = F.when(F.col("_begin") < F.col("_rest"), F.col("_full")).otherwise(F.col("_full") - 1)
     drawn = blocks.filter(passes >= 0).select("_source", "_block", F.explode(F.sequence(F.lit(0), passes)).alias("_pass"))
     at = Window.partitionBy("_source").orderBy(_dice(F.col("_source"), F.col("_block"), F.col("_pass")), "_block", "_pass")
-    drawn = stash(drawn.withColumn("_at", F.row_number().over(at)), "mix-drawn")
+    drawn = stash(drawn.withColumn("_at", F.row_number().over(at).cast("long")), "mix-drawn")
     ends = split_quotas(drawn.groupBy("_source").agg(F.count(F.lit(1)).alias("_blocks")), shards)
-    shard = F.size(F.filter("_ends", lambda e: e < F.col("_at")))
-    lots = drawn.join(ends.select(F.col("_source").alias("_s"), "_ends"), F.col("_source").eqNullSafe(F.col("_s")))
-    lots = lots.groupBy("_source", "_block").agg(F.array_sort(F.collect_list(F.struct(F.col("_pass").alias("pass"), shard.alias("shard")))).alias("_lots"))
-    b = blocks.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_source_size", "_target", "_full", "_rest", "_begin")
-    b = stash(b.join(lots, F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_b") == F.col("_block")), "left").drop("_source", "_block"), "mix-lots")
-
+    ends = ends.select("_source", F.lit(None).cast("int").alias("_block"), F.lit(None).cast("int").alias("_pass"), F.explode("_ends").alias("_at"))
+    # a block's shard: how many shards have ended before it
+    so_far = Window.partitionBy("_source").orderBy("_at", F.col("_block").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    lots = drawn.unionByName(ends).withColumn("_shard", F.sum(F.col("_block").isNull().cast("int")).over(so_far).cast("int")).filter("_block IS NOT NULL")
+    lots = lots.groupBy("_source", "_block").agg(F.array_sort(F.collect_list(F.struct(F.col("_pass").alias("pass"), F.col("_shard").alias("shard")))).alias("_lots"))
+    lots = lots.select(F.col("_source").alias("_l"), F.col("_block").alias("_lb"), "_lots")
+    b = blocks.join(lots, F.col("_source").eqNullSafe(F.col("_l")) & (F.col("_block") == F.col("_lb")), "left").join(cut, F.col("_source").eqNullSafe(F.col("_s")), "left")
+    b = stash(b.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_source_size", "_target", "_full", "_cut_block", "_cut_dice", "_lots"), "mix-lots")
+
+    dealt = (rows if slim else sized).withColumn("_block", block)
     both = dealt.join(b, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    inside = Window.partitionBy("_s", "_b").orderBy("_dice", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("_from", F.col("_begin") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    # a document is in the last pass if its middle lies before the rest's end
-    times = F.when(F.col("_size") > 0, F.col("_full") + (F.col("_from") + F.col("_size") / 2 <= F.col("_rest")).cast("int")).otherwise(0)
+    last = (F.col("_block") < F.col("_cut_block")) | ((F.col("_block") == F.col("_cut_block")) & (F.col("_dice") <= F.col("_cut_dice")))
+    times = F.when(F.col("_size") > 0, F.col("_full") + F.coalesce(last, F.lit(False)).cast("int")).otherwise(0)
     taken = F.filter(F.coalesce("_lots", F.array().cast("array<struct<pass:int,shard:int>>")), lambda x: x["pass"] < times)
     place = lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), _dice(F.col("_dice"), x["pass"], F.lit("place")).alias("place"))
-    both = both.withColumn("_draws", F.transform(taken, place))
-    return both.drop("_s", "_b", "_full", "_rest", "_begin", "_lots", "_from", "_dice", "_block", "_source")
+    return both.select(*carry, "_size", "_source_size", "_target", F.transform(taken, place).alias("_draws")), shards
+
+
+def laid_out(mix: DataFrame, shards: int) -> DataFrame:
+    """A row for every draw of mixed(): a partition holds a shard, in the order of its places."""
+    drawn = mix.withColumn("_draw", F.explode("_draws")).drop("_draws")
+    return drawn.repartitionById(shards, F.col("_draw.shard")).sortWithinPartitions("_draw.place")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,14 +219,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: a row for every time a document is taken, in the columns it came with."""
-    got = mixed(docs)
-    return got.select(*docs.columns, F.explode("_draws").alias("_draw")).select(*docs.columns)
+    """Pipeline stage: a row for every time a document is taken, in the columns it came with; a partition is a shard.
+
+    Defined cases as above; columns of any name and type pass through.
+    """
+    return laid_out(*planned(packed(docs, "text", "source", "doc_id"), "text", "source", "doc_id", ["doc"], None)).select("doc.*")
 
 
 SIZE_SQL = """len(list_filter(string_split(translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '      '), ' '), lambda x: x <> ''))"""
 
-SQL = f"""WITH d AS (SELECT doc_id, source, {SIZE_SQL}::BIGINT AS size, md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')) AS dice FROM documents),
+SQL = f"""WITH d AS (SELECT doc_id, source, {SIZE_SQL}::BIGINT AS size, md5('{SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS dice FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS total, count(*) AS docs FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
 f AS (SELECT *, {LIMIT} * total / weight AS full_at FROM w),
@@ -195,7 +236,7 @@ l AS (SELECT *, ({BUDGET}::DOUBLE * sum(total) OVER () - {LIMIT} * coalesce(sum(
         / sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
 lev AS (SELECT arg_min(level, full_at) AS a FROM l WHERE level < full_at),
 t AS (SELECT source, total, CASE WHEN a IS NULL OR full_at <= a THEN ({LIMIT} * total)::DOUBLE ELSE weight * a END AS target,
-        least(greatest(ceil(docs / {BLOCK_DOCS}.0), 1), {MAX_BLOCKS})::BIGINT AS n_blocks FROM l CROSS JOIN lev),
+        ({BLOCKS_A_SHARD} * greatest({MIN_SHARDS}, 2 ** ceil(log2(greatest(1, {BUDGET}::DOUBLE * sum(total) OVER () / {SHARD_WORDS})))))::BIGINT AS n_blocks FROM l CROSS JOIN lev),
 r AS (SELECT *, CASE WHEN total > 0 THEN floor(target / total)::BIGINT ELSE 0 END AS whole FROM t),
 x AS (SELECT d.*, total, target, whole, target - whole * total AS rest,
         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(dice, 1, 8))::BIGINT % n_blocks, dice, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
