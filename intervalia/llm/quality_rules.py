@@ -5,9 +5,13 @@ sketches (Greenwald-Khanna summaries, merged from the map side up) give the quar
 measure; upper and lower fences around them replace fixed cutoffs. The fences are joined back
 to the measured rows, which are then judged.
 
+Windows of words are compared by 64-bit hashes within their text: two different ones of a text of n
+windows pass for equal in about n * n / 2^65 of cases.
+
 Defined cases: a null text counts as empty and fails the base rules; null lang or source forms a
-group of its own; repeated rows are judged one by one; an empty table gives an empty result; other
-columns pass through, and own columns start with an underscore until the last selection.
+group of its own; repeated rows are judged one by one; a very long text is measured whole, in one row's
+memory (an array entry a word); an empty table gives an empty result; columns that are carried must not
+be named like OWN (filter_documents takes any).
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, stash, table, without, words
+from .common import SPACES, let, packed, stash, table, without, words
 
 #: Symbols counted by the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -31,6 +35,8 @@ FENCES = {
     "len": (150, True, True),  # characters per 100 words
 }
 SPREAD = 4
+#: Columns that judged() adds, or needs on the way.
+OWN = tuple("_n_words _word_chars _n_symbols _n_lines _n_dup_lines _n_repeat_words _sym _dup _rep _len _base_failed _kept _lang _source _by_word _by_line".split()) + tuple(f"_{end}_{m}" for end in ("hi", "lo", "q") for m in FENCES)
 ACCURACY = 10_000
 
 
@@ -113,8 +119,10 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     the fences, one row a group, are joined to them (broadcast only if Spark finds their file
     under its threshold).
     """
+    if clash := set(docs.columns) & set(OWN):
+        raise ValueError(f"columns {sorted(clash)} are the rules' own")
     rows = _with_ratios(measured(docs, text))
-    names = [c for c in rows.columns if carry is None or c in carry or c.startswith("_") or c in (lang, source)]
+    names = [c for c in rows.columns if carry is None or c in carry or c in OWN or c in (lang, source)]
     rows = stash(rows.select(*names), "quality-measures")
     cut = stash(fences(rows, lang, source), "quality-fences")
     passes = F.lit(True)
@@ -135,8 +143,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that pass, in the columns they came with."""
-    return judged(docs).filter("_kept").select(*docs.columns)
+    """Pipeline stage: documents that pass, in the columns they came with (of any name and type).
+
+    Defined cases: as above; documents without text fail the base rules and go.
+    """
+    return judged(packed(docs, "text", "lang", "source"), carry=["doc"]).filter("_kept").select("doc.*")
 
 
 _WORDS_SQL = """list_filter(string_split(translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '      '), ' '), lambda x: x <> '')"""
