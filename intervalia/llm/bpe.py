@@ -7,8 +7,12 @@ are memoised); where none may follow, the last token is taken back for a shorter
 which no way leads on is never tried again, so the time is linear in the piece. As a prefix has just
 one encoding, the result is that of merging by rank.
 
+Workers open the vocabulary at its path, which must be the same on all of them.
+
 Defined cases: a null text counts as empty and has no tokens; strings that look like special tokens
-are ordinary text; repeated rows, extra columns and empty tables need no care, as rows are independent.
+are ordinary text; a very long text is encoded whole, in memory in proportion to it (pieces of over
+LONGEST characters aren't remembered); repeated rows and empty tables need no care, as rows are
+independent; a carried column named like an output is an error.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from .common import lean, table
 
 #: Pieces and pairs remembered by a worker before it forgets all and starts anew.
 REMEMBERED = 400_000
+#: Characters of a piece that is remembered.
+LONGEST = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,10 +100,12 @@ class Codec:
 
     def _piece(self, piece: str) -> tuple[tuple[int, ...], bytes]:
         if (got := self.known.get(piece)) is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
             ids = tuple(self.encode_piece(piece.encode()))
-            got = self.known[piece] = ids, b" ".join(b"%d" % i for i in ids)
+            got = ids, b" ".join(b"%d" % i for i in ids)
+            if len(piece) <= LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[piece] = got
         return got
 
     def encode(self, text: str | None) -> list[int]:
@@ -113,7 +121,28 @@ class Codec:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+class Lengths(dict):
+    """How many tokens a piece has, by piece."""
+
+    def __init__(self, codec: Codec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.codec.encode_piece(piece.encode()))
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = n
+        return n
+
+
+@lru_cache(maxsize=4)
+def lengths(path: str, pattern: str) -> Lengths:
+    return Lengths(codec(path, pattern))
+
+
+@lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
@@ -150,6 +179,28 @@ def encoded(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] =
     return source.mapInArrow(lean(run), schema)
 
 
+def counted(docs: DataFrame, paths: dict[str, str], pattern: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns `carry` (all, if None) and, by name, how many tokens the text has in each vocabulary; texts are split once for all."""
+    carry = list(docs.columns) if carry is None else carry
+    if clash := set(carry) & set(paths):
+        raise ValueError(f"columns {sorted(clash)} exist already")
+    source = docs.select(F.col(text).alias("_text"), *carry)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]] + [f"`{n}` long" for n in paths])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [lengths(path, pattern).__getitem__ for path in paths.values()]
+        split = codec(next(iter(paths.values())), pattern).pieces
+        for batch in batches:
+            got = []
+            for x in batch.column(0):
+                pieces = split(x.as_py() or "")
+                got.append([sum(map(k, pieces)) for k in known])
+            columns = zip(*got, strict=True) if got else [[] for _ in paths]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names[1:], *paths])
+
+    return source.mapInArrow(lean(run), schema)
+
+
 def decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the bytes that its ids stand for (null: none)."""
 
@@ -160,10 +211,10 @@ def decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     return df.withColumn(out, back(ids))
 
 
-def default_vocabulary() -> tuple[str, str]:
+def default_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     import public_tokenizers as public
 
-    return public.path("byte_bpe_50k.tiktoken"), public.PATTERN
+    return public.path(name), public.PATTERN
 
 
 DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -175,7 +226,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the digests of what op5_bpe returns, for the documents left."""
+    """Pipeline stage: the digests of what op5_bpe returns, for the documents left (their other columns aren't read).
+
+    Defined cases: as above; a document that the mix took twice has two rows."""
     path, pattern = default_vocabulary()
     return encoded(docs, path, pattern, DIGESTS, carry=["doc_id"])
 
