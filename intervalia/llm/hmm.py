@@ -9,10 +9,11 @@ then ROUNDS rounds run over all training documents: each partition adds up expec
 summed by blocks of symbols into a model of fixed size. A text's score is the exact log10 likelihood
 of its tokens and the end, from the scaled forward recursion, run over many documents at a time.
 
-Counts of the KNOWN most frequent words go to the workers (a fixed bound); tokens beyond them are
-joined with the table of counts, as that grows with the corpus.
+Counts of the KNOWN most frequent words (of KNOWN_BYTES at most) go to the workers, a fixed bound; tokens
+beyond them are joined with the table of counts, as that grows with the corpus. The sample has documents
+of START_BYTES at most, so that the driver's share is bounded; all later rounds read every text whole.
 
-Defined cases: a null text counts as empty, which is the end alone; a null id is hashed as the empty
+Defined cases: a very long text is one sequence, held by one task (36 bytes a token); a null text counts as empty, which is the end alone; a null id is hashed as the empty
 text; repeated rows are scored one by one; without training documents all counts are 0; no columns of
 the input other than the id are carried, and no text is cut.
 """
@@ -33,9 +34,9 @@ from .common import bounded_sample, lean, stash, table
 
 STATES = 8
 OWN = 16_384
-KNOWN = 131_072
+KNOWN, KNOWN_BYTES = 131_072, 256
 ENDINGS = 512
-START_DOCS = 300
+START_DOCS, START_BYTES = 300, 32 << 10
 START_ROUNDS = 8
 ROUNDS = 2
 #: Tokens whose state probabilities are held at a time.
@@ -113,7 +114,7 @@ def vocabulary(counts: DataFrame, own: int = OWN, known: int = KNOWN, endings: i
         most, least = most + r["count"], r["size"]
         if most >= known:
             break
-    ranked = counts.filter("word <> ''").filter(size >= least).coalesce(4).orderBy(F.col("n").desc(), "word").limit(known).collect()
+    ranked = counts.filter(f"word <> '' AND octet_length(word) <= {KNOWN_BYTES}").filter(size >= least).orderBy(F.col("n").desc(), "word").limit(known).collect()
     ranked = [(r["word"].encode(), r["n"]) for r in ranked]
     total, distinct = np.zeros(1 + own + endings), np.zeros(1 + own + endings)
     v = Vocabulary(own, endings, {w: (1 + i, n) for i, (w, n) in enumerate(ranked[:own])}, int(sums[0] or 0), int(sums[1]), int(sums[2] or 0), total, distinct)
@@ -310,7 +311,8 @@ def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = docs.filter(fold != 1)
     counts = stash(word_counts(learn.select("text")), "lm-counts")
     v = vocabulary(counts)
-    sample = [r["text"] for r in bounded_sample(learn, F.col("doc_id"), START_DOCS).select("text").collect()]
+    short = learn.filter(F.octet_length("text") <= START_BYTES)
+    sample = [r["text"] for r in bounded_sample(short, F.col("doc_id"), START_DOCS).select("text").collect()]
     m = trained(learn.select("text"), v, sample)
     got = scored(docs, counts, v, m)
     return got.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), "base_score", "score")
