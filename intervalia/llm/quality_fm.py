@@ -9,7 +9,9 @@ least hash of their id (a parameter). Scores of all documents come from one pass
 
 Defined cases: a null text counts as empty, a null metadata value is a range of its own; null labels
 are passed over; several labels of an id count as their largest; without labelled rows of both kinds
-the machine has the prior of those there are (0.5 without any); repeated rows are scored one by one.
+the machine has the prior of those there are (0.5 without any); repeated rows are scored one by one; a
+very long text is read whole, in memory in proportion to it; an empty table gives an empty result; other
+columns are only carried.
 """
 
 from __future__ import annotations

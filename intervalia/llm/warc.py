@@ -10,8 +10,9 @@ the reader, so what an attempt left behind that was lost or ran twice is never r
 pyarrow's file systems: the folder may be any that driver and executors share and pyarrow can open.
 
 Defined cases: a null payload is empty; a null url becomes about:blank; null ids are written without an
-id and are responses; rows that repeat the largest id of equal payloads are all responses; an empty
-table gives no archive and an empty result; other columns of the input are not archived.
+id and are responses; rows that repeat the largest id of equal payloads are all responses; a very long
+payload is one record, written and read in one task's memory; an empty table gives no archive and an
+empty result; other columns of the input are not archived.
 """
 
 from __future__ import annotations
@@ -165,8 +166,8 @@ def read_archives(written: DataFrame, folder: str, with_payload: bool = False) -
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    # a task an archive (by number, so that Spark doesn't join tasks whose rows are short)
-    listed = written.select("path").repartition(max(1, written.count()))
+    # by number, so that Spark doesn't join tasks whose rows are short: an archive a task, or several where there are many
+    listed = written.select("path").repartition(max(1, min(written.count(), int(written.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     return listed.mapInArrow(lean(read), schema)
 
 
