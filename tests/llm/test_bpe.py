@@ -51,3 +51,13 @@ def test_rows(spark, library):
     again = bpe.decoded(bpe.encoded(docs, PATH, PATTERN).select("doc_id", "ids"), PATH, PATTERN)
     assert {r["doc_id"]: bytes(r["decoded"]) for r in again.collect()} == {i: (t or "").encode() for i, t in enumerate(texts)}
     assert bpe.encoded(docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_counts(spark, library):
+    texts = ["Hello <|endoftext|> world", "", None, "x" * 50_000, "two\r\n  spaces\t é¿ß漢字 ", "z" * 300 + " a b"]
+    multi = bpe.default_vocabulary("byte_bpe_multi_50k.tiktoken")[0]
+    other = tiktoken.Encoding("multi", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(multi), special_tokens={})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = bpe.counted(docs, {"a": PATH, "b": multi}, PATTERN, carry=["doc_id"]).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(i, len(library.encode_ordinary(t or "")), len(other.encode_ordinary(t or ""))) for i, t in enumerate(texts)]
+    assert bpe.counted(docs.limit(0), {"a": PATH}, PATTERN).count() == 0

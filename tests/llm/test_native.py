@@ -11,7 +11,7 @@ from intervalia.llm import epsilon_grid, mixing, quality_rules, token_counts, wa
 
 from .conftest import CASES, SF
 
-SQL = {"op1_quality_rules": quality_rules, "op3_mixing": mixing, "op7_token_counts": token_counts, "op8_warc": warc, "op10_epsilon_grid": epsilon_grid}
+SQL = {"op1_quality_rules": quality_rules, "op3_mixing": mixing, "op8_warc": warc, "op10_epsilon_grid": epsilon_grid}
 
 
 def plain(rows):
@@ -120,10 +120,16 @@ def test_rollup(spark, tmp_path):
     assert r.commit("2", token_counts.revisions(old.filter("n_tokens = 5"), new)) and r.commit("3", token_counts.inserts(old.limit(0)))
     want = {("a", "en", "v1"): (1, 10), ("a", "en", "v2"): (1, 7), (None, None, "v1"): (1, 0)}
     assert state() == want
-    (tmp_path / "r/batches/dead").mkdir()  # an attempt that didn't end
-    r.compact("c1")
-    r.compact("c1")
+    old.write.parquet(f"file://{tmp_path}/r/data/dead")  # attempts that didn't end
+    (tmp_path / "r/drafts/dead").write_text("5\ndata/dead")
+    assert r.compact("c1") and not r.compact("c1")
     assert state() == want and r.committed() == ["c1"] and not r.commit("2", token_counts.inserts(old))
+    # what others did at the same time: the entry is there when ours is moved
+    log = r.log()
+    r.log = lambda: []
+    assert not r.commit("2", token_counts.inserts(old)) and not r.compact("c2")
+    del r.log
+    assert state() == want and r.log() == log
     assert r.commit("4", token_counts.deletes(old)) and state() == {("a", "en", "v1"): (-1, -5), ("a", "en", "v2"): (1, 7)}
 
 

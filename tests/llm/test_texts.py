@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import zlib
 from collections import Counter, defaultdict
 from itertools import chain
 
@@ -83,9 +82,10 @@ def family(rng, n, words, edits):
     return out
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_join_against_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(256, 32), (8, 32), (8, 1)])
+def test_join_against_all_pairs(spark, monkeypatch, block, hot):
     monkeypatch.setattr(ngram_join, "FAMILY", block)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "RUN_TOKENS", 3000)
     rng = random.Random(block)
     texts = family(rng, 60, 120, 6) + family(rng, 10, 12, 1) * 3 + family(rng, 25, 300, 9) + [f"only {i} a b c d" for i in range(20)]
@@ -194,8 +194,10 @@ def passages(rng):
     return texts
 
 
-@pytest.mark.parametrize(("group", "chunk"), [(16_384, suffix_dedup.CHUNK), (5, 2500)])
-def test_cut_against_all_strings(spark, group, chunk):
+@pytest.mark.parametrize(("group", "chunk", "hot"), [(16_384, suffix_dedup.CHUNK, 32), (5, 2500, 32), (5, 2500, 1), (16_384, 2500, 2)])
+def test_cut_against_all_strings(spark, monkeypatch, group, chunk, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", group)
     texts = passages(random.Random(group))
     docs = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, run string").repartition(5)
     got = suffix_dedup.deduplicated(docs, outputs=(*DIGESTS, "spans", "kept"), group=group, chunk=chunk).orderBy("doc_id").collect()
@@ -331,7 +333,3 @@ def test_classifier_learns(spark, odd):
     assert quality_fm.scored(odd.limit(0), m).count() == 0
     flat = quality_fm.train(docs, labels.limit(0))
     assert quality_fm.scored(docs.limit(1), flat).first()["score"] == 0.5
-
-
-def test_folds():
-    assert zlib.crc32(b"7") % 5 == zlib.crc32(str(7).encode()) % 5
