@@ -6,11 +6,13 @@ rows in the tables, and one with the reason in `archive_errors`.
 
 from __future__ import annotations
 
+import contextlib
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,37 +20,43 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how sheets are named in their archive.
 SHEET = re.compile(r"sheet#(\d+)/sheet#\1\.xml")
-_NAME = r"[A-Za-z_][\w.\-]*"
 
 
 def local_name(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def unbound_prefixes(text: str) -> list[str]:
-    """Name-space prefixes that tags or attributes use and the first tag doesn't declare."""
-    head = re.search(rf"<(?:{_NAME}:)?{_NAME}[^>]*>", text)
-    if not head:
-        return []
-    used = {p for tag in re.findall(r"<[^!?][^>]*>", text) for p in re.findall(rf"(?:^</?|\s)({_NAME}):{_NAME}", tag)}
-    return sorted(used - {"xml", "xmlns"} - set(re.findall(rf"xmlns:({_NAME})\s*=", head.group())))
+class _PlainNames:
+    """Builds a tree from expat's events, with local names, and notes prefixes used outside the reach of a declaration.
+
+    Expat is told nothing of name spaces, so that it takes prefixed names as they stand."""
+
+    def __init__(self) -> None:
+        self.tree, self.reach, self.lacking = ElementTree.TreeBuilder(), [frozenset(["xml", "xmlns"])], set()
+        self.expat = expat.ParserCreate()
+        self.expat.StartElementHandler, self.expat.EndElementHandler, self.expat.CharacterDataHandler = self._start, self._end, self.tree.data
+
+    def _start(self, name: str, attributes: dict[str, str]) -> None:
+        self.reach.append(self.reach[-1] | {a.removeprefix("xmlns:") for a in attributes if a.startswith("xmlns:")})
+        prefixes = {n.split(":", 1)[0] for n in (name, *attributes) if ":" in n}
+        self.lacking |= prefixes - self.reach[-1]
+        self.tree.start(name.rpartition(":")[2], {a.rpartition(":")[2]: v for a, v in attributes.items() if not a.startswith("xmlns")})
+
+    def _end(self, name: str) -> None:
+        self.reach.pop()
+        self.tree.end(name.rpartition(":")[2])
 
 
 def parse_tolerantly(data: bytes) -> tuple[ElementTree.Element | None, list[str]]:
-    """The root, after declaring prefixes that were left out if need be, and those prefixes; (None, []) if it still can't be read."""
-    try:
+    """The root, with prefixes passed over that are declared nowhere, and those prefixes; (None, []) if it still can't be read."""
+    with contextlib.suppress(ElementTree.ParseError):
         return ElementTree.fromstring(data), []
-    except ElementTree.ParseError:
-        pass
-    text = data.decode("utf-8", errors="replace")
-    if not (lacking := unbound_prefixes(text)):
-        return None, []
-    head = re.search(rf"<(?:{_NAME}:)?{_NAME}[^>]*?(?=/?>)", text)
-    declared = "".join(f' xmlns:{p}="urn:undeclared:{p}"' for p in lacking)
+    plain = _PlainNames()
     try:
-        return ElementTree.fromstring(text[: head.end()] + declared + text[head.end() :]), lacking
-    except ElementTree.ParseError:
+        plain.expat.Parse(data.decode(errors="replace"), True)
+    except expat.ExpatError:
         return None, []
+    return (plain.tree.close(), sorted(plain.lacking)) if plain.lacking else (None, [])
 
 
 def _table(files: DataFrame, schema: str, rows: Callable[[str, zipfile.ZipFile], Iterator[tuple]]) -> DataFrame:

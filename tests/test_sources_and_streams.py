@@ -99,3 +99,10 @@ def test_streams(spark, tmp_path):
     held = stream(spark, f"{tmp_path}/r", [[("a", AT(0), "reserve"), ("b", AT(0), "reserve"), ("c", AT(0), "reserve")], [("a", AT(10), "spend"), ("b", AT(2000), "spend")], [("z", AT(9000), "reserve")], [("z", AT(9001), "release")]], "k string, t timestamp, action string")
     assert sorted(drained(ledger.reservations(held, "k", "t"), spark, "held")) == [("a", "spent"), ("b", "expired"), ("c", "expired"), ("z", "released")]
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_prefixes_that_are_declared_nowhere():
+    root, lacking = archives.parse_tolerantly(b'<score xmlns:a="x"><a:part b:id="1"><m c="2">t</m></a:part><c:end/></score>')
+    assert lacking == ["b", "c"] and [e.tag for e in root.iter()] == ["score", "part", "m", "end"]
+    assert root.find("part").attrib == {"id": "1"} and root.findtext("part/m") == "t"
+    assert archives.parse_tolerantly(b"<a><b></a>") == (None, []) and archives.parse_tolerantly(b"<a/>")[0].tag == "a"
