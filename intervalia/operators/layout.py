@@ -41,11 +41,15 @@ def assign_intervals(items: DataFrame, targets: DataFrame, on: Cols, item_id: st
 
 def neighbour_median(rows: DataFrame, part: Cols, key: str, value: str) -> DataFrame:
     """rows with the median of the others in their partition (null with fewer than two others)."""
-    others = F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))).over(Window.partitionBy(*part))
-    df = rows.withColumn("_o", F.array_sort(F.transform(F.filter(others, lambda x: x["k"] != F.col(key)), lambda x: x["v"])))
-    n = F.size("_o")
-    mid = (F.get("_o", F.floor((n - 1) / 2).cast("int")) + F.get("_o", F.floor(n / 2).cast("int"))) / 2
-    return df.withColumn("others_median", F.when(n >= 2, mid)).drop("_o")
+    part_, value_ = Window.partitionBy(*part), F.col(value).cast("double")
+    df = rows.withColumns({"_r": F.row_number().over(part_.orderBy(value_.asc_nulls_last(), key)), "_n": F.count(F.lit(1)).over(part_) - 1})
+    # the middle two of the others have ranks next to the middle of all: three values a partition tell them
+    low = F.floor((F.col("_n") + 1) / 2)
+    df = df.withColumns({f"_m{i}": F.max(F.when(F.col("_r") == low + i, value_)).over(part_) for i in range(3)})
+    upper = F.floor(F.col("_n") / 2) + 1  # of the others' ranks, the middle ones are low and upper
+    at = lambda rank: F.get(F.array("_m0", "_m1", "_m2"), (rank + (F.col("_r") <= rank).cast("int") - low).cast("int"))
+    mid, n = (at(low) + at(upper)) / 2, F.col("_n")
+    return df.withColumn("others_median", F.when(n >= 2, mid)).drop("_r", "_n", "_m0", "_m1", "_m2")
 
 
 def neighbours(rows: DataFrame, part: Cols, at: str) -> DataFrame:

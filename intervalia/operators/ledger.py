@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Cols = list[str]
 
@@ -34,22 +38,28 @@ def grouped_charges(steps: DataFrame, job: Cols, order: Cols, per_step: int = 1,
 def anchored_limit(failures: DataFrame, owner: Cols, at: str, order: Cols, seconds: int = 900, most: int = 5) -> DataFrame:
     """failures with window_start and n_in_window, of windows that begin at the first failure outside the last one; blocked at `most`.
 
-    A window's start depends on the one before, so an owner's failures are folded in order.
+    A window's start depends on the one before, so an owner's failures are folded in order, batch by batch, a step a window.
     """
-    use = failures.withColumns({"_t": F.unix_timestamp(at).cast("long"), "_i": F.row_number().over(Window.partitionBy(*owner).orderBy(at, *order))})
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        starts, counts, start, n = [], [], None, 0
-        p = p.sort_values("_i")
-        for t in p["_t"]:
-            start, n = (t, 1) if start is None or t - start >= seconds else (start, n + 1)
-            starts.append(start)
-            counts.append(n)
-        return p[[*owner, "_i"]].assign(window_start=starts, n_in_window=counts)
-
-    kinds = ", ".join(f"{c} {use.schema[c].dataType.simpleString()}" for c in [*owner, "_i"])
-    got = use.select(*owner, "_t", "_i").groupBy(*owner).applyInPandas(fold, f"{kinds}, window_start long, n_in_window long")
-    return use.join(got, [*owner, "_i"]).withColumn("blocked", F.col("n_in_window") >= most).drop("_t", "_i")
+    w = Window.partitionBy(*owner).orderBy(at, *order)
+    use = failures.withColumns({"_t": F.unix_timestamp(at).cast("long"), "_first": F.row_number().over(w) == 1})  # in order, owner by owner
+    schema = StructType([*failures.schema.fields, *StructType.fromDDL("window_start long, n_in_window long").fields])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, n = 0, 0  # of the window that is open: all that is kept of what came before
+        for b in batches:
+            t, first = b.column("_t").to_numpy(), b.column("_first").to_numpy(zero_copy_only=False)
+            starts, counts = np.empty(len(t), np.int64), np.empty(len(t), np.int64)
+            heads = np.flatnonzero(first)
+            for lo, hi in zip([0, *heads], [*heads, len(t)], strict=True):
+                open_ = not (lo < len(t) and first[lo])
+                while lo < hi:
+                    start, n = (start, n) if open_ else (int(t[lo]), 0)
+                    end = lo + int(np.searchsorted(t[lo:hi], start + seconds))
+                    starts[lo:end], counts[lo:end] = start, np.arange(n + 1, n + 1 + end - lo)
+                    lo, n, open_ = end, n + end - lo, False
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(starts), pa.array(counts)], names=[*b.schema.names[:-2], "window_start", "n_in_window"])
+
+    return use.mapInArrow(fold, schema).withColumn("blocked", F.col("n_in_window") >= most)
 
 
 def applied_subscriptions(transactions: DataFrame, wallet: Cols, transaction: str, order: Cols, plan_credits: Column) -> DataFrame:
@@ -79,5 +89,7 @@ def combined_credits(sources: DataFrame, owner: Cols, kind: str, remaining: str)
     return sources.groupBy(*owner).agg(F.sum(left).cast("long").alias("total"), F.sum(F.when(F.col(kind) == "purchased", left).otherwise(0)).cast("long").alias("purchased"), F.bool_or(left > 0).alias("any_left"))
 
 
-def subscription_active(status: Column, now: Column, expiry: Column, grace: Column, terminal: tuple[str, ...] = ("expired", "revoked", "refunded")) -> Column:
-    return F.coalesce(~status.isin(*terminal), F.lit(True)) & (F.coalesce(now < expiry, F.lit(False)) | F.coalesce(now < grace, F.lit(False)))
+def subscription_active(status: Column, now: Column, expiry: Column, grace: Column, terminal: tuple[str, ...] = ("refunded", "revoked", "expired", "inactive")) -> Column:
+    """Whether a subscription holds: not ended, and before its expiry or, while billing is in grace, the grace's end."""
+    s = F.lower(F.trim(F.coalesce(status, F.lit(""))))
+    return ~s.isin(*terminal) & (F.coalesce(now < expiry, F.lit(False)) | ((s == "billing_grace") & F.coalesce(now < grace, F.lit(False))))
