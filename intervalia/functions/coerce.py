@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 TRUE = ("1", "true", "yes", "y", "on")
 FALSE = ("0", "false", "no", "n", "off")
 
+#: How ids of manual systems and measures begin; attributes that say what a symbol is.
+MANUAL_SYSTEM, MANUAL_MEASURE = "manual_sys_", "manual_measure_"
+CLEF_ATTRIBUTES = ("shape", "type", "kind", "name", "family")
+
 
 def to_int(x: Column, default: int | None = None) -> Column:
     """Whole numbers in text; anything else is the default."""
@@ -65,20 +69,31 @@ def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(w, 1, n), " ")
 
 
+#: Words that say that nothing is known.
+NOTHING = ("", "unknown", "none", "null", "n/a")
+
+
 def bounded_words(text: Column, n: int, otherwise: str) -> Column:
-    """The text in single spaces if it has at most n words."""
+    """The text in single spaces if it says something in at most n words."""
     w = F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
-    return F.when(F.size(w) <= n, F.array_join(w, " ")).otherwise(F.lit(otherwise))
+    flat = F.array_join(w, " ")
+    return F.when((F.size(w) <= n) & ~F.lower(flat).isin(*NOTHING), flat).otherwise(F.lit(otherwise))
 
 
 def bounded_chars(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
+#: Spellings of the two meters that have names.
+COMMON_TIME = ("common_time", "common", "commonmeter", "c")
+CUT_TIME = ("cut_time", "cut", "alla_breve", "cuttime")
+
+
 def meter(x: Column) -> Column:
-    """common_time, cut_time or n/m (one or two digits each); null for others."""
-    t = F.lower(F.regexp_replace(F.trim(x), r"\s+", ""))
-    return F.when(t.isin("c", "common", "common_time"), "common_time").when(t.isin("cut", "cut_time"), "cut_time").when(t.rlike("^[0-9]{1,2}/[0-9]{1,2}$"), t)
+    """common_time, cut_time or n/m (one or two digits each); null for others. Spaces and hyphens count as underscores."""
+    t = F.translate(F.lower(F.regexp_replace(x, r"^\s+|\s+$", "")), "- ", "__")
+    plain = F.translate(t, "_", "")
+    return F.when(t.isin(*COMMON_TIME), "common_time").when(t.isin(*CUT_TIME), "cut_time").when(plain.rlike("^[0-9]{1,2}/[0-9]{1,2}$"), plain)
 
 
 def json_object(text: Column) -> Column:
@@ -91,3 +106,47 @@ def cost(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: Colum
     """Exact price of a call, rates being per million tokens."""
     dec = lambda c: c.cast("decimal(20,6)")
     return ((dec(tokens_in) * dec(rate_in)).cast("decimal(30,6)") + (dec(tokens_out) * dec(rate_out)).cast("decimal(30,6)")) / F.lit(1_000_000).cast("decimal(7,0)")
+
+
+def gs_parts(uri: Column) -> Column:
+    """bucket and blob of a gs:// address; null if it is none."""
+    t = F.trim(uri)
+    whole = r"(?s)^gs://([^/]+)/(.+)$"
+    return F.when(t.rlike(whole), F.struct(F.regexp_extract(t, whole, 1).alias("bucket"), F.regexp_extract(t, whole, 2).alias("blob")))
+
+
+def job_id(uri: Column, most: int = 96) -> Column:
+    """The slug of a gs:// address's file name without its last ending; empty for other addresses."""
+    name = F.regexp_extract(gs_parts(uri)["blob"], r"([^/]*)/*$", 1)
+    return F.coalesce(F.substring(slug(F.regexp_replace(name, r"\.[^.]*$", "")), 1, most), F.lit(""))
+
+
+def manual_id(row_id: Column, place: Column | None = None) -> Column:
+    """Id of a manual row's system or, with a place, of its measure there."""
+    key = slug(F.trim(F.coalesce(row_id, F.lit(""))))
+    key = F.when(key == "", "row").otherwise(key)
+    if place is None:
+        return F.concat(F.lit(MANUAL_SYSTEM), key)
+    return F.concat(F.lit(MANUAL_MEASURE), key, F.lit("_m"), F.greatest(F.lit(0), place).cast("string"))
+
+
+def fallback_confidence(bars: Column, increment: Column, carried: Column) -> Column:
+    """How far a count by bar-lines is to be trusted."""
+    low = (increment <= 0) | (increment > 8) | (bars - increment >= 2)
+    return F.when(low, "low").when(carried, "medium").otherwise("high")
+
+
+def sheet_tokens(name: Column, text: Column) -> Column:
+    """sheet and n of a field that lists a sheet's systems; null for other fields."""
+    sheet = F.regexp_extract(F.trim(name), r"^source-sheet-(\d+)$", 1).try_cast("int")
+    n = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""))
+    return F.when(sheet.isNotNull(), F.struct(sheet.alias("sheet"), n.alias("n")))
+
+
+def looks_like_clef(tag: Column, attributes: Column) -> Column:
+    """Whether a symbol's tag or one of the attributes that say what it is names a clef."""
+    says = [F.coalesce(F.lower(F.try_element_at(attributes, F.lit(a))).contains("clef"), F.lit(False)) for a in CLEF_ATTRIBUTES]
+    out = F.coalesce(F.lower(tag).endswith("clef"), F.lit(False))
+    for x in says:
+        out = out | x
+    return out

@@ -51,10 +51,36 @@ def auto_row_reason(boxes: Column, left: Column, top: Column, right: Column, bot
     )
 
 
+#: Codes and words of errors that may pass, and words of those that won't.
+PASSING_CODES = (408, 429, 500, 502, 503, 504)
+PASSING_WORDS = (
+    "timed out", "timeout", "connection reset", "connection aborted", "connection refused", "temporarily unavailable",
+    "service unavailable", "try again", "rate limit", "too many requests", "backend error", "internal error",
+)
+MODEL_PASSING_WORDS = ("throttlingexception", "serviceunavailableexception", "internalserverexception", "modeltimeoutexception", "timeout", "timed out", "connection")
+MODEL_LASTING_WORDS = (
+    "provider_not_configured", "malformed_provider_response", "invalidsignatureexception", "accessdeniedexception", "unauthorized",
+    "validationexception", "on-demand throughput isn", "not authorized",
+)
+OVERLOADED_CODE, OVERLOADED_WORD = 529, "overloaded_error"
+
+
+def _says(text: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(F.lower(F.coalesce(text, F.lit(""))), w))
+
+
 def retryable(status: Column, message: Column) -> Column:
-    """Errors worth another try: overload and gateway codes, or a message that says so."""
-    said = F.lower(F.coalesce(message, F.lit(""))).rlike("timed? ?out|temporar|unavailable|connection reset|rate limit")
-    return F.coalesce(status.isin(408, 409, 425, 429, 500, 502, 503, 504), F.lit(False)) | said
+    """Errors worth another try: by their code, or by what the message says."""
+    return F.coalesce(status.isin(*PASSING_CODES), F.lit(False)) | _says(message, PASSING_WORDS)
+
+
+def model_retryable(status: Column, detail: Column) -> Column:
+    """The same for calls of a model: words of a lasting fault go before all else."""
+    return ~_says(detail, MODEL_LASTING_WORDS) & (_says(detail, MODEL_PASSING_WORDS) | F.coalesce(status.isin(*PASSING_CODES), F.lit(False)))
+
+
+def overloaded(status: Column, detail: Column) -> Column:
+    return F.coalesce(status == OVERLOADED_CODE, F.lit(False)) | _says(detail, (OVERLOADED_WORD,))
 
 
 def upload_reason(name: Column, mime: Column, size: Column, most_mb: int = 25) -> Column:
@@ -79,5 +105,40 @@ def transaction_reason(product: Column, products: tuple[str, ...], bundle: Colum
 
 
 def run_state(status: Column, conclusion: Column) -> Column:
-    """One word for an external run."""
-    return F.when(status.isin("queued", "waiting", "pending", "requested"), "queued").when(status == "in_progress", "running").when((status == "completed") & (conclusion == "success"), "succeeded").when((status == "completed") & (conclusion == "cancelled"), "cancelled").when(status == "completed", "failed").otherwise("unknown")
+    """One word for an external run; a status that isn't known stands for itself."""
+    s, c = (F.lower(F.trim(F.coalesce(x, F.lit("")))) for x in (status, conclusion))
+    done = F.when(c == "success", "succeeded").when(c == "cancelled", "cancelled").otherwise("failed")
+    return F.when(s == "completed", done).when(s.isin("queued", "requested", "waiting", "pending"), "queued").when(s.isin("in_progress", "running"), "running").when(s == "", "unknown").otherwise(s)
+
+
+def failure_stage(structural: Column, omr: Column, mxl: Column, parts: Column, measures: Column, success: Column, reason: Column) -> Column:
+    """How far a page's recognition came."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    some = lambda c: F.coalesce(c, F.lit(0)) > 0
+    return (
+        F.when(yes(structural), "grid_structural_ok").when(~yes(omr), "omr_missing").when(~yes(mxl), "mxl_missing_after_omr_created")
+        .when(~some(parts) | ~some(measures), "mxl_has_no_parts_or_measures").when(~yes(success), F.when(F.coalesce(reason, F.lit("")) == "", "unknown_failure").otherwise(reason)).otherwise("ok")
+    )
+
+
+def next_try(stage: Column, log_clues: Column, image_clues: Column) -> Column:
+    """What to try next, by what is known of the image, then of the stage, then of the log (arrays of clues)."""
+    has = lambda clues, *names: F.arrays_overlap(clues, F.array(*(F.lit(n) for n in names)))
+    return (
+        F.when(has(image_clues, "staff_lines_weak", "staff_lines_broken"), "medium_staff_line_repair").when(has(image_clues, "major_skew", "minor_skew"), "deskew_then_medium_raster")
+        .when(has(image_clues, "dark_borders"), "crop_or_border_cleanup").when(stage.isin("mxl_missing_after_omr_created", "mxl_has_no_parts_or_measures"), "medium_raster_cleanup")
+        .when(has(log_clues, "crash_or_exception", "timeout_or_killed"), "retry_or_split_page").otherwise("inspect_page_manually")
+    )
+
+
+#: Fixed value: what a log says where a grid helps.
+GRID_LOG = "metronomeinter|textbuilder|texts step|transcription did not complete|could not export"
+
+
+def wants_grid(omr_created: Column, log: Column) -> Column:
+    return F.coalesce(omr_created, F.lit(False)) & F.coalesce(F.lower(log).rlike(GRID_LOG), F.lit(False))
+
+
+def erase_area(page: Column, left: Column, top: Column, right: Column, bottom: Column, most_wide: float = 96.0, most_high: float = 48.0) -> Column:
+    """Whether an area may be erased: on a page, with an inside, and small."""
+    return F.coalesce(page > 0, F.lit(False)) & valid_rect(left, top, right, bottom) & (right - left <= most_wide) & (bottom - top <= most_high)

@@ -77,10 +77,10 @@ def runs_above(points: DataFrame, part: Cols, at: str, value: str, threshold: fl
 
 
 def accept_second_pass(first: Column, second: Column, target: Column) -> Column:
-    """Whether a second count is strictly nearer to its target, and no smaller than the first."""
-    return F.coalesce((second > first) & (F.abs(second - target) < F.abs(first - target)), F.lit(False))
+    """Whether a second count is larger than the first, strictly nearer to its target, and not far over it."""
+    return F.coalesce((second > first) & (F.abs(second - target) < F.abs(first - target)) & (second <= F.greatest(F.lit(3.0), 1.6 * target)), F.lit(False))
 
 
 def under_split(count: Column, target: Column) -> Column:
-    """Whether a count is suspiciously low against its neighbours' median."""
-    return F.coalesce(count <= F.greatest(F.lit(2), F.floor(0.4 * target)), F.lit(False))
+    """Whether a count is suspiciously low against its neighbours' median (not without one)."""
+    return target.isNotNull() & F.coalesce(count <= F.greatest(F.lit(2), F.floor(0.4 * target)), F.lit(False))

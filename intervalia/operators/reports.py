@@ -24,7 +24,15 @@ def reason_counts(rows: DataFrame, part: Cols, reasons: str) -> DataFrame:
     return rows.select(*part, F.explode(reasons).alias("reason", "n")).groupBy(*part, "reason").agg(F.sum("n").cast("long").alias("n"))
 
 
-def clues(text: Column, patterns: dict[str, str]) -> Column:
+#: What logs say, as names and patterns.
+CLUES = {
+    "transcription_did_not_complete": r"transcription did not complete", "export_failed": r"could not export|export failed", "no_mxl_files": r"no_mxl|no mxl|no .*mxl",
+    "no_parts_or_measures": r"parts_or_measures_zero|no parts|no measures", "staff_system_warning": r"staff|stave|system", "measure_warning": r"measure",
+    "timeout_or_killed": r"timeout|timed out|killed|137", "crash_or_exception": r"exception|traceback|error: process completed with exit code",
+}
+
+
+def clues(text: Column, patterns: dict[str, str] = CLUES) -> Column:
     """Names of the patterns found in a text, sorted."""
     t = F.lower(text)
     return F.array_sort(F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(name)) for name, p in patterns.items()))))

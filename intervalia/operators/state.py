@@ -107,7 +107,10 @@ def drawn_labels(state: DataFrame, systems: DataFrame, mode: str, forced: DataFr
 
 
 def version(state: DataFrame) -> DataFrame:
-    """job, version: 16 hex digits that change with any label, place or flag of its measures. Rows are hashed one by one
-    and summed, so that no job is gathered in one row."""
-    row = F.xxhash64("measure_id", "system_id", "global_index", "label", "excluded")
-    return state.groupBy("job").agg(F.lower(F.lpad(F.hex(F.bit_xor(row)), 16, "0")).alias("version"))
+    """job, version: 16 hex digits that change with any label, place or flag of its measures, and with their number. Rows are
+    hashed one by one and added up, so that no job is gathered in one row and equal rows all count."""
+    names = ("measure_id", "system_id", "global_index", "label", "excluded")
+    cells = [x for c in names for x in (F.col(c).isNull(), F.col(c))]  # a hash passes over nulls
+    sums = [F.sum(F.xxhash64(F.lit(i), *cells).cast("decimal(38,0)")) for i in range(2)]
+    whole = state.groupBy("job").agg(F.count(F.lit(1)).alias("n"), *(s.alias(f"s{i}") for i, s in enumerate(sums)))
+    return whole.select("job", F.substring(F.sha1(F.concat_ws("|", "n", "s0", "s1").cast("binary")), 1, 16).alias("version"))

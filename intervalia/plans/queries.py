@@ -188,9 +188,10 @@ def duplicate_later(spark, sf_dir):
     return layout.repeated_later(read(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderpriority")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def empty_parents(spark, sf_dir):
-    return layout.empty_parents(read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+    urgent = read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    return layout.empty_parents(read(spark, sf_dir, "customer"), urgent, "c_custkey", "o_custkey").select("c_custkey")
 
 
 @query("""SELECT s_suppkey, (SELECT max(b.s_acctbal) FROM supplier b WHERE b.s_nationkey = a.s_nationkey AND b.s_acctbal < a.s_acctbal) AS prev_at,
@@ -358,13 +359,13 @@ def null_safe_diff(spark, sf_dir):
     return overlay.changed(o, o.withColumn("o_orderstatus", F.when(k == 0, None).when(k == 1, "F").otherwise(F.col("o_orderstatus"))), ["o_orderkey"], "o_orderstatus")
 
 
-@query("""WITH r AS (SELECT item_id + 3 AS id FROM benchmark UNION ALL SELECT item_id FROM benchmark WHERE item_id % 7 = 0), c AS (SELECT id, count(*) AS n FROM r GROUP BY id)
-SELECT (SELECT count(*) FROM c WHERE id NOT IN (SELECT doc_id FROM documents WHERE doc_id < 50)) AS unknown, (SELECT count(*) FROM c WHERE n > 1) AS duplicate,
-  (SELECT count(*) FROM documents WHERE doc_id < 50 AND doc_id NOT IN (SELECT id FROM c)) AS missing, false AS accepted""")
+@query("""WITH r AS (SELECT item_id + 3 AS id FROM benchmark UNION ALL SELECT doc_id FROM labels WHERE toxic = 0 UNION ALL SELECT doc_id + 7 FROM documents WHERE doc_id % 3 = 0), c AS (SELECT id, count(*) AS n FROM r GROUP BY id)
+SELECT (SELECT count(*) FROM c WHERE id NOT IN (SELECT doc_id FROM documents)) AS unknown, (SELECT count(*) FROM c WHERE n > 1) AS duplicate,
+  (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT id FROM c)) AS missing, false AS accepted""")
 def set_equality(spark, sf_dir):
-    want = read(spark, sf_dir, "documents").filter("doc_id < 50").select(F.col("doc_id").alias("id"))
-    b = read(spark, sf_dir, "benchmark")
-    back = b.select((F.col("item_id") + 3).alias("id")).unionByName(b.filter("item_id % 7 = 0").select(F.col("item_id").alias("id")))
+    want = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    back = read(spark, sf_dir, "benchmark").select((F.col("item_id") + 3).alias("id"))
+    back = back.unionByName(read(spark, sf_dir, "labels").filter("toxic = 0").select(F.col("doc_id").alias("id"))).unionByName(want.filter("id % 3 = 0").select((F.col("id") + 7).alias("id")))
     return overlay.key_difference(want, back, "id")
 
 
@@ -434,19 +435,25 @@ def reason_counts(spark, sf_dir):
     return reports.reason_counts(e, ["user_id"], "reasons")
 
 
-_CLUES = {"digits": "[0-9]{3}", "mail": "[a-z]+@[a-z]+", "pipe": r"\|", "shout": "!!", "web": "https?://"}
+_CLUE_SQL = {
+    "transcription_did_not_complete": "transcription did not complete", "export_failed": "could not export|export failed", "no_mxl_files": "no_mxl|no mxl|no .*mxl",
+    "no_parts_or_measures": "parts_or_measures_zero|no parts|no measures", "staff_system_warning": "staff|stave|system", "measure_warning": "measure",
+    "timeout_or_killed": "timeout|timed out|killed|137", "crash_or_exception": "exception|traceback|error: process completed with exit code",
+}
+_SAID_SQL = "text || chr(10) || ['No measures', 'job KILLED', 'no file of mxl', 'Export failed', ''][doc_id % 5 + 1]"
 
 
-@query("SELECT doc_id, list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{n}' END" for n, p in _CLUES.items()) + "], lambda x: x IS NOT NULL)) AS clues FROM documents")
+@query("SELECT doc_id, list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower({_SAID_SQL}), '{p}') THEN '{n}' END" for n, p in _CLUE_SQL.items()) + "], lambda x: x IS NOT NULL)) AS clues FROM documents")
 def log_clues(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", reports.clues(F.col("text"), _CLUES).alias("clues"))
+    said = F.element_at(F.array(*(F.lit(x) for x in ("No measures", "job KILLED", "no file of mxl", "Export failed", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", reports.clues(F.concat("text", F.lit("\n"), said)).alias("clues"))
 
 
-@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, CASE WHEN quality = 0 THEN 4 ELSE 2 END AS n FROM documents JOIN labels USING (doc_id))
+@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, CASE WHEN quality = 0 THEN 400 ELSE 80 END AS n FROM documents LEFT JOIN labels USING (doc_id))
 SELECT doc_id, (i - 1)::INT AS line_no, l[i] AS line FROM (SELECT doc_id, l, n, unnest(range(1, len(l) + 1)) AS i FROM d) WHERE i > len(l) - n""")
 def tail_lines(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    return reports.last_lines(d, "text", F.when(F.col("quality") == 0, 4).otherwise(2)).select("doc_id", "line_no", "line")
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return reports.last_lines(d, "text", F.when(F.col("quality") == 0, 400).otherwise(80)).select("doc_id", "line_no", "line")
 
 
 @query("""WITH a AS (SELECT o_custkey, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'retry' WHEN 1 THEN 'raster' ELSE 'grid' END AS kind, o_orderstatus = 'F' AS ok FROM orders),
@@ -495,7 +502,7 @@ def json_extract(spark, sf_dir):
 _SQL_WORDS = r"list_filter(regexp_split_to_array(trim(text, ' ' || chr(10) || chr(9)), '\s+'), lambda x: x <> '')"
 
 
-@query(f"""SELECT doc_id, array_to_string({_SQL_WORDS}[1:8], ' ') AS first_words, CASE WHEN len({_SQL_WORDS}) <= 40 THEN array_to_string({_SQL_WORDS}, ' ') ELSE 'unclear' END AS bounded,
+@query(f"""SELECT doc_id, array_to_string({_SQL_WORDS}[1:8], ' ') AS first_words, CASE WHEN len({_SQL_WORDS}) <= 40 AND lower(array_to_string({_SQL_WORDS}, ' ')) NOT IN ('', 'unknown', 'none', 'null', 'n/a') THEN array_to_string({_SQL_WORDS}, ' ') ELSE 'unclear' END AS bounded,
   CASE WHEN length(text) > 220 THEN text[1:220] || '...' ELSE text END AS cut FROM documents""")
 def text_bounds(spark, sf_dir):
     t = F.col("text")
@@ -602,13 +609,13 @@ def combined_credits(spark, sf_dir):
 
 @query("""WITH s AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'multi_measure_rest' WHEN 'click' THEN 'uncertain' WHEN 'signup' THEN 'pickup' WHEN 'error' THEN 'ending_1' ELSE 'normal' END AS l, event_id % 4 AS n FROM events)
 SELECT event_id, CASE WHEN l = 'ending_1' OR (l = 'multi_measure_rest' AND n < 2) THEN 'normal' ELSE l END AS label, CASE WHEN l = 'multi_measure_rest' AND n >= 2 THEN n::INT END AS rest_count, CASE WHEN n = 0 THEN 'high' ELSE 'low' END AS confidence,
-  CASE WHEN l = 'uncertain' AND n >= 2 THEN 'multi_measure_rest' END AS maybe_label, CASE WHEN l = 'uncertain' AND n >= 2 THEN n::INT END AS maybe_rest_count, 'unclear' AS completeness, CASE WHEN n = 1 THEN 'common_time' WHEN n = 2 THEN '3/4' END AS time_signature FROM s""")
+  CASE WHEN l = 'uncertain' AND n >= 2 THEN 'multi_measure_rest' END AS maybe_label, CASE WHEN l = 'uncertain' AND n >= 2 THEN n::INT END AS maybe_rest_count, CASE WHEN l = 'pickup' THEN 'incomplete' WHEN l = 'multi_measure_rest' AND n >= 2 THEN 'full' WHEN n = 3 THEN 'full' ELSE 'unclear' END AS completeness, CASE WHEN n = 1 THEN 'common_time' WHEN n = 2 THEN '3/4' END AS time_signature FROM s""")
 def suggestion_rules(spark, sf_dir):
     n = F.col("event_id") % 4
     label = F.expr("CASE event_type WHEN 'view' THEN ' Multi_Measure_Rest' WHEN 'click' THEN 'uncertain' WHEN 'signup' THEN 'PICKUP' WHEN 'error' THEN 'ending_1' ELSE 'normal' END")
     s = read(spark, sf_dir, "events").select(
         F.col("user_id").alias("job"), F.col("event_id").alias("measure_id"), label.alias("label"), n.cast("string").alias("rest_count"), F.when(n == 0, "High").otherwise("??").alias("confidence"),
-        F.lit("multi_measure_rest").alias("maybe_label"), n.cast("string").alias("maybe_rest_count"), F.lit("maybe").alias("completeness"), F.lit("r").alias("reason"),
+        F.lit("multi_measure_rest").alias("maybe_label"), n.cast("string").alias("maybe_rest_count"), F.when(n == 3, " Full").otherwise("complete").alias("completeness"), F.lit("r").alias("reason"),
         F.when(n == 1, "C").when(n == 2, " 3 / 4").when(n == 3, "3/456").alias("time_signature"),
     )
     got = suggestions.normalised(s)
@@ -680,7 +687,7 @@ def label_boxes(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.round(box["left"], 3).alias("x_left"), F.round(box["top"], 3).alias("y_top"), F.round(box["right"], 3).alias("x_right"))
 
 
-@query("""SELECT event_id, event_id % 600 IN (408, 409, 425, 429, 500, 502, 503, 504) OR regexp_matches(event_type || CASE WHEN event_id % 5 = 0 THEN ' Timed out' ELSE '' END, 'Timed out') AS again,
+@query("""SELECT event_id, event_id % 600 IN (408, 429, 500, 502, 503, 504) OR regexp_matches(event_type || CASE WHEN event_id % 5 = 0 THEN ' Timed out' ELSE '' END, 'Timed out') AS again,
   CASE WHEN event_type <> 'view' THEN 'not_a_pdf' WHEN event_id % 4 = 0 THEN 'empty_file' WHEN event_id % 40 > 25 THEN 'file_too_large' END AS reason, CASE WHEN event_type = 'click' OR event_id % 9 = 0 THEN 'manual' ELSE 'auto' END AS row_source FROM events""")
 def request_rules(spark, sf_dir):
     k = F.col("event_id")
@@ -750,3 +757,6 @@ def unique_names(spark, sf_dir):
 def wide_blocks(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").withColumns({"doc": F.col("conv_id") % 20, "l": F.lit(10), "r": F.length("text"), "w": F.lit(150)})
     return selection.wide_blocks(c, ["doc"], "conv_id", "l", "r", "turn", "w").select("conv_id", "turn", "number")
+
+
+from . import pages as _pages  # noqa: E402, F401  adds its queries to these

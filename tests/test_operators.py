@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from intervalia.functions import coerce
-from intervalia.operators import boxes, layout, ledger, mapping, overlay, reports, suggestions
+from intervalia.operators import boxes, layout, ledger, mapping, overlay, pages, reports, suggestions
 
 
 def rows(df, *cols):
@@ -135,7 +135,8 @@ def test_suggestions(spark):
     got = {r["measure_id"]: r for r in suggestions.normalised(spark.createDataFrame(data, kinds)).collect()}
     assert [got[m]["label"] for m in "abcdef"] == ["uncertain", "normal", "pickup", "normal", "uncertain", "multi_measure_rest"]
     assert got["a"]["maybe_label"] is None and got["e"]["maybe_label"] is None and got["f"]["rest_count"] == 7
-    assert (got["c"]["reason"], got["c"]["time_signature"], got["b"]["time_signature"], got["d"]["time_signature"], got["e"]["time_signature"]) == ("unclear", "3/4", "common_time", None, "cut_time")
+    assert (got["c"]["reason"], got["c"]["time_signature"], got["b"]["time_signature"], got["d"]["time_signature"], got["e"]["time_signature"]) == (None, "3/4", "common_time", None, "cut_time")
+    assert [got[m]["completeness"] for m in "abcdef"] == ["unclear", "unclear", "incomplete", "unclear", "unclear", "full"]
     assert rows(suggestions.kept_and_omitted(suggestions.normalised(spark.createDataFrame(data, kinds))), "n_suggestions", "normal_omitted") == [(4, 2)]
 
 
@@ -145,3 +146,37 @@ def test_scalars(spark):
     assert df.limit(1).select(coerce.nearest_rank(F.array(*map(F.lit, (1.0, 2.0, 3.0, 10.0))), 0.05)).first()[0] == 1.0
     assert df.limit(1).select(coerce.slug(F.lit("--a b/c?.pdf."))).first()[0] == "a-b-c-.pdf"
     assert df.limit(1).select(coerce.json_object(F.lit('note ```json\n{"a": {"b": 1}}\n``` end'))).first()[0] == '{"a": {"b": 1}}'
+
+
+def test_bounds_without_a_side(spark):
+    kinds = "s string, anchor_x double, anchor_top double, anchor_bottom double, x_left double, x_right double, y_top double, y_bottom double"
+    systems = [("anchor only", 5.0, 1.0, 9.0, None, None, None, None), ("no anchor", None, None, None, None, 80.0, 1.0, 9.0), ("own left", None, None, None, 2.0, 80.0, 1.0, 9.0), ("measures", 5.0, 1.0, 9.0, None, None, None, None)]
+    measures = spark.createDataFrame([("measures", 10.0, 30.0, 0.0, 20.0), ("measures", 40.0, 40.0, -3.0, None), ("measures", None, 99.0, 0.0, 99.0)], "s string, x_left double, x_right double, y_top double, y_bottom double")
+    got = {r["s"]: tuple(r)[1:] for r in pages.visual_bounds(spark.createDataFrame(systems, kinds), measures, ["s"]).collect()}
+    assert got == {"anchor only": (5.0, 6.0, 1.0, 9.0), "own left": (2.0, 80.0, 1.0, 9.0), "measures": (10.0, 30.0, -3.0, 20.0)}
+
+
+def test_second_pass_of_the_neighbours(spark):
+    one = spark.range(1)
+    accept = lambda a, b, m: one.select(boxes.accept_second_pass(F.lit(a), F.lit(b), F.lit(m).cast("double"))).first()[0]
+    assert [accept(2, 6, 10), accept(2, 2, 10), accept(2, 18, 10), accept(2, 3, None), accept(1, 17, 10), accept(1, 3, 1.9)] == [True, False, False, False, False, False]
+    assert one.select(boxes.under_split(F.lit(1), F.lit(None).cast("double"))).first()[0] is False
+
+
+def test_limit_of_owners_in_any_batch(spark):
+    import random
+
+    rng = random.Random(2)
+    t0 = datetime.datetime(2026, 1, 1)
+    rows_ = [(o, t0 + datetime.timedelta(seconds=rng.randrange(20_000)), i) for i, o in enumerate([*range(40)] * 5 + [7] * 3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r["i"]: (r["window_start"], r["n_in_window"]) for r in ledger.anchored_limit(spark.createDataFrame(rows_, "o int, t timestamp, i int"), ["o"], "t", ["i"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, open_ = {}, {}
+    for o, t, i in sorted(rows_):
+        s = t.replace(tzinfo=datetime.timezone.utc).timestamp()
+        start, n = open_.get(o, (None, 0))
+        open_[o] = want[i] = (int(s), 1) if start is None or s - start >= 900 else (start, n + 1)
+    assert got == want
