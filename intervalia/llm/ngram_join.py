@@ -48,7 +48,7 @@ PERCENT = 80
 RUN_TOKENS, RUN_DOCS = 1_000_000, 60_000
 #: Cost of verifying a candidate, in postings read; longest match asked for.
 VERIFY, MOST_MATCHES = 8.0, 64
-FAMILY = 512
+FAMILY = 256
 #: Documents of a run that must have a token for it to go as one entry; its document number.
 HOT, MANY = 32, 0xFFFF
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
