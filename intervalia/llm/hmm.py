@@ -10,7 +10,8 @@ summed by blocks of symbols into a model of fixed size. A text's score is the ex
 of its tokens and the end, from the scaled forward recursion, run over many documents at a time.
 
 Counts of the KNOWN most frequent words (of KNOWN_BYTES at most) go to the workers, a fixed bound; tokens
-beyond them are joined with the table of counts, as that grows with the corpus. The sample has documents
+beyond them are joined with the table of counts, as that grows with the corpus. Texts are tokenised twice, to count
+their words and to write their symbols, which the rounds and the score read. The sample has documents
 of START_BYTES at most, so that the driver's share is bounded; all later rounds read every text whole.
 
 Defined cases: a very long text is one sequence, held by one task (36 bytes a token); a null text counts as empty, which is the end alone; a null id is hashed as the empty
@@ -84,6 +85,13 @@ class Model:
     emit: np.ndarray  # (symbols, states)
 
 
+class _Ranks(dict):
+    """Ranks of words; -1 for others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 @dataclass
 class Vocabulary:
     """Symbol 0 is the end, 1 to own are words, and `endings` more are shared."""
@@ -97,6 +105,11 @@ class Vocabulary:
     own_total: np.ndarray  # of each symbol, T
     own_distinct: np.ndarray  # of each symbol, V
 
+    @property
+    def width(self) -> type:
+        """Of a symbol where sequences are written."""
+        return np.uint16 if len(self.own_total) <= 1 << 16 else np.int32
+
     def ending(self, word: bytes) -> int:
         return 1 + self.own + zlib.crc32(word[-2:]) % self.endings
 
@@ -218,7 +231,7 @@ def first_model(unigram: np.ndarray, states: int = STATES) -> Model:
 
 
 def trained(texts: DataFrame, v: Vocabulary, sample: list[str], rounds: int = ROUNDS) -> Model:
-    """Baum-Welch: rounds over the sample, then over all texts (a DataFrame of one column)."""
+    """Baum-Welch: rounds over the sample, then over all texts (a DataFrame of one column, of texts or of their symbols)."""
     unigram = (v.own_total + 0.5) / (v.own_total + 0.5).sum()
     m, symbols = first_model(unigram), len(unigram)
     some = [v.symbols(t) for t in sample]
@@ -227,14 +240,19 @@ def trained(texts: DataFrame, v: Vocabulary, sample: list[str], rounds: int = RO
         e.add(m, some)
         m = e.model(m, unigram)
     sc = texts.sparkSession.sparkContext
-    words = sc.broadcast(v)
+    width = v.width
+    if texts.schema[0].dataType.typeName() == "binary":
+        read = lambda x: np.frombuffer(x, width)
+    else:
+        words = sc.broadcast(v)
+        read = lambda x: words.value.symbols(x)
     for _ in range(rounds):
         now = sc.broadcast(m)
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             e = Expected(STATES, symbols)
             for b in batches:
-                e.add(now.value, [words.value.symbols(t.as_py()) for t in b.column(0)])
+                e.add(now.value, [read(t.as_py()) for t in b.column(0)])
             parts = [(-1, np.vstack([e.start, e.move]))] + [(i // BLOCK, e.emit[i : i + BLOCK]) for i in range(0, symbols, BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["part", "counts"])
 
@@ -258,46 +276,70 @@ def trained(texts: DataFrame, v: Vocabulary, sample: list[str], rounds: int = RO
     return m
 
 
-def scored(docs: DataFrame, counts: DataFrame, v: Vocabulary, m: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((v, m))
+def encoded(docs: DataFrame, v: Vocabulary, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Every row read once, written: _row, _id, _symbols (of each token and the end), _n, _known, _base, _own, _rest.
+
+    _base and _own are what known words add to the base score and, beside the states, to the score; the counts of
+    the words in _rest are added after a join.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(v)
     source = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
-    schema = f"_id {id_type}, _n long, _known long, _base double, _score double, _rest array<string>"
+    schema = f"_id {id_type}, _symbols binary, _n long, _known long, _base double, _own double, _rest array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m = shared.value
+        v = shared.value
         base_of = -np.log10(v.total + 0.5 * (v.distinct + 1))
-        per_symbol = np.log10(v.own_total + 0.5 * (v.own_distinct + 1))
+        per_symbol = np.where(np.arange(len(v.own_total)) > v.own, -np.log10(v.own_total + 0.5 * (v.own_distinct + 1)), 0.0)
+        # by rank, a word's symbol, log count, share of its symbol and whether it counts; the last stands for words not known
+        ranks = _Ranks((w, i) for i, w in enumerate(v.known))
+        symbol = np.array([s for s, _ in v.known.values()] + [0], np.int32)
+        count = np.array([c for _, c in v.known.values()] + [0], float)
+        base_add = np.append(np.log10(count[:-1] + 0.5), 0.0)
+        own_add = np.where(symbol > v.own, base_add, 0.0)
+        counts = count > 0
+        end = np.log10(v.ends + 0.5)
         for b in batches:
             seqs, rest, n, known, base, own = [], [], [], [], [], []
             for t in b.column(1):
                 ws = tokens(t.as_py())
-                got = [v.known.get(w) for w in ws]
-                unseen = [w for w, g in zip(ws, got, strict=True) if g is None]
-                s = np.array([g[0] if g else v.ending(w) for w, g in zip(ws, got, strict=True)] + [0], np.int32)
-                c = np.array([g[1] for g in got if g] + [v.ends], float)
-                at = s > v.own
-                shared_c = np.array([g[1] if g else 0 for g in got] + [0], float)
-                seqs.append(s)
-                rest.append(unseen)
+                r = np.fromiter(map(ranks.__getitem__, ws), np.int64, len(ws))
+                s = np.zeros(len(ws) + 1, v.width)
+                s[:-1] = symbol[r]
+                unseen = np.flatnonzero(r < 0)
+                more = [ws[i] for i in unseen]
+                s[unseen] = [v.ending(w) for w in more]
+                seqs.append(s.tobytes())
+                rest.append(more)
                 n.append(len(ws) + 1)
-                known.append(int((c > 0).sum()))
-                # the counts of unseen words are added after the join
-                base.append(np.log10(c + 0.5).sum() + base_of * (len(ws) + 1))
-                in_known = at & (shared_c > 0)
-                own.append(np.log10(shared_c[in_known] + 0.5).sum() - per_symbol[s[at]].sum())
-            like = log10_likelihood(m, seqs) if seqs else np.zeros(0)
-            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(like + np.array(own), pa.float64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=["_id", "_n", "_known", "_base", "_score", "_rest"])
-
-    rows = stash(source.mapInArrow(lean(run), schema).withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
+                known.append(int(counts[r].sum()) + (v.ends > 0))
+                base.append(base_add[r].sum() + end + base_of * (len(ws) + 1))
+                own.append(own_add[r].sum() + per_symbol[s].sum())
+            columns = [pa.array(seqs, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=["_id", "_symbols", "_n", "_known", "_base", "_own", "_rest"])
+
+    return stash(source.mapInArrow(lean(run), schema).withColumn("_row", F.monotonically_increasing_id()), "lm-symbols")
+
+
+def finished(rows: DataFrame, counts: DataFrame, v: Vocabulary, m: Model, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row of encoded()."""
+    model, width = rows.sparkSession.sparkContext.broadcast(m), v.width
+    carried = rows.select("_row", "_id", "_n", "_known", "_base", "_own", "_symbols")
+    id_type = carried.schema["_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs = [np.frombuffer(x.as_py(), width) for x in b.column(6)]
+            like = log10_likelihood(model.value, seqs) if seqs else np.zeros(0)
+            own = b.column(5).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(like + own, pa.float64())], names=["_row", "_id", "_n", "_known", "_base", "_score"])
+
+    scores = carried.mapInArrow(lean(run), f"_row long, _id {id_type}, _n long, _known long, _base double, _score double")
     asked = rows.select("_row", F.explode("_rest").alias("_word"))
     answered = asked.join(counts.select(F.col("word").alias("_w"), "n"), F.col("_word") == F.col("_w"), "left")
     log = F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)
     added = answered.groupBy("_row").agg(F.sum(log).alias("_add"), F.count("n").alias("_more")).withColumnRenamed("_row", "_r")
-    both = rows.drop("_rest").join(added, F.col("_row") == F.col("_r"), "left")
+    both = scores.join(added, F.col("_row") == F.col("_r"), "left")
     add = F.coalesce(F.col("_add"), F.lit(0.0))
     return both.select(
         F.col("_id").alias(doc_id), F.col("_n").alias("n_tokens"), (F.col("_known") + F.coalesce(F.col("_more"), F.lit(0))).alias("n_known"),
@@ -305,6 +347,11 @@ def scored(docs: DataFrame, counts: DataFrame, v: Vocabulary, m: Model, text: st
     )
 
 
+def scored(docs: DataFrame, counts: DataFrame, v: Vocabulary, m: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row."""
+    return finished(encoded(docs, v, text, doc_id), counts, v, m, doc_id)
+
+
 def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
@@ -313,8 +360,10 @@ def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vocabulary(counts)
     short = learn.filter(F.octet_length("text") <= START_BYTES)
     sample = [r["text"] for r in bounded_sample(short, F.col("doc_id"), START_DOCS).select("text").collect()]
-    m = trained(learn.select("text"), v, sample)
-    got = scored(docs, counts, v, m)
+    rows = encoded(docs, v)
+    of_id = F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")) % 5
+    m = trained(rows.filter(of_id != 1).select("_symbols"), v, sample)
+    got = finished(rows, counts, v, m)
     return got.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
