@@ -83,7 +83,7 @@ def judged_edits(edits: DataFrame, measures: DataFrame, systems: DataFrame, job:
     blank = F.coalesce(F.trim("target_id"), F.lit("")) == ""
     number = F.trim("value").try_cast("int")
     reason = (
-        F.when(~F.col("type").isin(*EDITS), "unsupported_edit_type")
+        F.when(~F.coalesce(F.col("type").isin(*EDITS), F.lit(False)), "unsupported_edit_type")
         .when(kind("system", 0) & F.col("_s").isNull(), "unknown_system_id")
         .when(kind("measure", 0) & blank, "missing_measure_id")
         .when(kind("measure", 0) & F.col("_m").isNull(), "unknown_measure_id")
@@ -91,9 +91,9 @@ def judged_edits(edits: DataFrame, measures: DataFrame, systems: DataFrame, job:
         .when(kind("number", 1) & number.isNull(), "invalid_value")
         .when(kind("number", 1) & ~number.between(0, 1_000_000), "value_out_of_range")
         .when(kind("count", 1) & (number.isNull() | (number < 0)), "invalid_measure_count")
-        .when(kind("mode", 1) & ~F.coalesce(F.col("value").isin("system_only", "all_measures"), F.lit(False)), "invalid_value")
+        .when(kind("mode", 1) & ~F.coalesce(F.lower(F.trim("value")).isin("system_only", "all_measures"), F.lit(False)), "invalid_value")
         .when(kind("flag", 1) & ~F.coalesce(F.lower("value").isin("true", "false"), F.lit(False)), "invalid_value")
-        .when(kind("ending", 1) & ~F.coalesce(F.lower(F.trim("value")), F.lit("")).isin("", "none", "1", "2"), "invalid_ending_value")
+        .when(kind("ending", 1) & ~F.coalesce(F.trim("value"), F.lit("")).isin("", "none", "1", "2"), "invalid_ending_value")
     )
     return df.withColumn("reject_reason", reason).drop("_m", "_s", "_x")
 

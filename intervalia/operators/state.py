@@ -46,14 +46,26 @@ def placed(measures: DataFrame, systems: DataFrame, ruled_pages: DataFrame | Non
     return df.withColumns({"reassigned": F.coalesce(F.col("best_id") != F.col("system_id"), F.lit(False)), "system_id": F.coalesce("best_id", "system_id")}).drop("best_id")
 
 
-def refreshed(systems: DataFrame, measures: DataFrame, edits: DataFrame, ruled_pages: DataFrame | None = None) -> DataFrame:
-    """measures placed, indexed and numbered: reassigned, parent_index, local_index, global_index, label."""
+def refreshed(systems: DataFrame, measures: DataFrame, edits: DataFrame, ruled_pages: DataFrame | None = None, staff_rests: DataFrame | None = None) -> DataFrame:
+    """measures placed, indexed and numbered: reassigned, parent_index, local_index, global_index, label; staff_rests as in with_carry."""
     at = placed(measures, systems, ruled_pages)
     df = numbering.reindexed(at, systems, ["job"], "system_id", ["page", "y_top", "x_left", "system_id"], ["x_left", "measure_id"])
     df = df.join(sane_edits(edits), ["job", "measure_id"], "left").withColumn("pickup", F.coalesce("pickup", F.lit(False)))
     first = systems.withColumn("_n", F.row_number().over(Window.partitionBy("job").orderBy("page", "y_top", "x_left", "system_id"))).filter("_n = 1").select("job", F.col("start").alias("_start"))
     df = df.join(first, "job", "left")
-    return numbering.numbered_with_endings(df, ["job"], ["global_index"], kind="ending", start="_start").drop("_start")
+    if staff_rests is None:
+        return numbering.numbered_with_endings(df, ["job"], ["global_index"], kind="ending", start="_start").drop("_start")
+    return numbering.numbered_with_endings(with_carry(df, staff_rests), ["job"], ["global_index"], kind="ending", start="_start", carry="_carry").drop("_start", "_carry")
+
+
+def with_carry(indexed: DataFrame, staff_rests: DataFrame) -> DataFrame:
+    """indexed with _carry: where a system begins, the rest (job, system_id, rest) of the whole one before it, unless a counted measure
+    there has a rest of its own."""
+    own = indexed.filter("NOT coalesce(excluded, false) AND rest > 0").select("job", "system_id").distinct()
+    whole = staff_rests.filter("rest > 0").select("job", "system_id", F.col("rest").alias("_whole")).join(own, ["job", "system_id"], "left_anti").withColumnRenamed("system_id", "_before")
+    before = F.lag("system_id").over(Window.partitionBy("job").orderBy("global_index"))
+    df = indexed.withColumn("_before", before).withColumn("_before", F.when(F.col("_before") != F.col("system_id"), F.col("_before")))
+    return df.join(whole, ["job", "_before"], "left").withColumn("_carry", F.coalesce("_whole", F.lit(0))).drop("_before", "_whole")
 
 
 def system_labels(state: DataFrame, systems: DataFrame) -> DataFrame:

@@ -759,4 +759,5 @@ def wide_blocks(spark, sf_dir):
     return selection.wide_blocks(c, ["doc"], "conv_id", "l", "r", "turn", "w").select("conv_id", "turn", "number")
 
 
-from . import pages as _pages  # noqa: E402, F401  adds its queries to these
+from . import edits as _edit_plans  # noqa: E402, F401  these add their queries
+from . import pages as _pages  # noqa: E402, F401
