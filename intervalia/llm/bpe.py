@@ -2,8 +2,8 @@
 
 Bytes are mapped to Latin-1 characters, so that one Aho-Corasick automaton over the vocabulary gives
 every token that starts at every byte of a piece. A piece is encoded from the longest token onwards:
-a token may follow another if merging the bytes of the two alone gives back just these two (answers
-are memoised); where none may follow, the last token is taken back for a shorter one. A byte from
+a token may follow another if merging the bytes of the two alone gives back just these two (found by
+taking back their merges; answers are memoised); where none may follow, the last token is taken back for a shorter one. A byte from
 which no way leads on is never tried again, so the time is linear in the piece. As a prefix has just
 one encoding, the result is that of merging by rank.
 
@@ -33,6 +33,8 @@ from .common import lean, table
 
 #: Pieces and pairs remembered by a worker before it forgets all and starts anew.
 REMEMBERED = 400_000
+#: Above all ranks.
+NEVER = 1 << 62
 #: Characters of a piece that is remembered.
 LONGEST = 256
 
@@ -62,41 +64,73 @@ class Codec:
         for t, i in ranks.items():
             self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
         self.automaton.make_automaton()
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.split: dict[int, tuple[int, ...] | None] = {}
+        self.follows: dict[tuple[int | None, int], bool] = {}
         self.known: dict[str, tuple[tuple[int, ...], bytes]] = {}
 
+    def halves(self, t: int) -> tuple[int, int] | tuple[()] | None:
+        """The two tokens whose merge makes t, none for a byte; None if merging never makes it."""
+        if t not in self.split:
+            parts = [self.token[t][i : i + 1] for i in range(len(self.token[t]))]
+            while len(parts) > 2:
+                best, at = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+                if best == NEVER:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.split[t] = () if len(parts) == 1 else (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.split[t]
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Takes back the merges inside a and b, the latest first: nowhere may the tokens that then meet have merged before it."""
+        before = NEVER
+        while self.ranks.get(self.token[a] + self.token[b], NEVER) >= before:
+            later_a = a > b
+            if not (half := self.halves(a if later_a else b)):
+                later_a = not later_a
+                if not (half := self.halves(a if later_a else b)):
+                    return True
+            if later_a:
+                before, a = a, half[1]
+            else:
+                before, b = b + 1, half[0]
+        return False
+
     def may_follow(self, a: int | None, b: int) -> bool:
-        """Whether the bytes of a and b, merged alone, are these two tokens (of b, if there's no a)."""
+        """Whether the bytes of a and b, merged alone, are these two tokens (of b, if there's no a); a is one that merging makes."""
         if (got := self.follows.get((a, b))) is None:
             if len(self.follows) >= REMEMBERED:
                 self.follows.clear()
-            alone = [b] if a is None else [a, b]
-            got = self.follows[a, b] = merge_by_rank(b"".join(self.token[x] for x in alone), self.ranks) == alone
+            got = self.follows[a, b] = self.halves(b) is not None and (a is None or self._apart(a, b))
         return got
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        if piece in self.ranks:
-            return [self.ranks[piece]]
+        if (one := self.ranks.get(piece)) is not None:
+            return [one]
         starts: list[list[tuple[int, int]]] = [[] for _ in piece]
-        for last, (i, n) in self.automaton.iter(piece.decode("latin-1")):
-            starts[last - n + 1].append((n, i))
-        for found in starts:
-            found.sort(reverse=True)
-        dead = bytearray(len(piece) + 1)
-        path: list[tuple[int, int, int]] = []  # start, which of its tokens, id
-        at = which = 0
+        for last, found in self.automaton.iter(piece.decode("latin-1")):
+            starts[last - found[1] + 1].append(found)  # the longest comes last
+        # every byte is reached once, as the tokens before it are settled: what was tried there needn't be kept
+        dead, asked = bytearray(len(piece) + 1), self.follows.get
+        ids: list[int | None] = [None]
+        sizes: list[int] = []
+        at = 0
         while at < len(piece):
-            found, last = starts[at], path[-1][2] if path else None
-            while which < len(found) and (dead[at + found[which][0]] or not self.may_follow(last, found[which][1])):
-                which += 1
-            if which < len(found):
-                path.append((at, which, found[which][1]))
-                at, which = at + found[which][0], 0
+            found, last = starts[at], ids[-1]
+            while found:
+                i, n = found.pop()
+                if not dead[at + n]:
+                    if (ok := asked((last, i))) is None:
+                        ok = self.may_follow(last, i)
+                    if ok:
+                        ids.append(i)
+                        sizes.append(n)
+                        at += n
+                        break
             else:
                 dead[at] = 1
-                at, which, _ = path.pop()
-                which += 1
-        return [i for _, _, i in path]
+                ids.pop()
+                at -= sizes.pop()
+        return ids[1:]
 
     def _piece(self, piece: str) -> tuple[tuple[int, ...], bytes]:
         if (got := self.known.get(piece)) is None:

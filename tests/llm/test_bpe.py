@@ -61,3 +61,12 @@ def test_counts(spark, library):
     got = bpe.counted(docs, {"a": PATH, "b": multi}, PATTERN, carry=["doc_id"]).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(i, len(library.encode_ordinary(t or "")), len(other.encode_ordinary(t or ""))) for i, t in enumerate(texts)]
     assert bpe.counted(docs.limit(0), {"a": PATH}, PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_tokens_that_may_follow(name):
+    c = bpe.codec(*bpe.default_vocabulary(name))
+    ids = sorted(c.token)
+    for k in range(4000):
+        a, b = ids[k * 7919 % len(ids)], ids[k * k * 31 % len(ids)]
+        assert c.may_follow(a, b) == (bpe.merge_by_rank(c.token[a] + c.token[b], c.ranks) == [a, b])
