@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import away as distance
+from .search import candidates
+
 Cols = list[str]
 
 
@@ -48,11 +52,22 @@ def uncovered(items: DataFrame, covers: DataFrame, page: Cols, key: str, top: st
 
 
 def nearest_span(items: DataFrame, spans: DataFrame, part: Cols, key: str, hint: str, x: str, top: str, bottom: str, tolerance: float = 2.0) -> DataFrame:
-    """Each item with one span of its partition: the left-most that covers its hint, else that of nearest middle, else (without a hint) the left-most."""
+    """Each item with one span of its partition: the left-most that covers its hint, else that of nearest middle, else (without a hint) the left-most.
+
+    Each is looked up in a tree over the partition's spans (as doubles), so no table of pairs is made.
+    """
     s = spans.filter(F.col(bottom) > F.col(top)).select(*part, F.col(x).alias("_x"), F.col(top).alias("span_top"), F.col(bottom).alias("span_bottom"))
-    df = items.join(s, part)
+    middle, end = (F.col("span_top") + F.col("span_bottom")) / 2, F.col("span_bottom") + tolerance
+    known = lambda c: F.when(F.isnan(c), F.lit(float("inf"))).otherwise(c)
+    held = {"from": F.col("span_top") - tolerance, "to": known(end), "c": known(middle)}
+
+    def score(q, least, most):
+        covers = (q("hint") >= least("from")) & (q("hint") <= most("to"))
+        return np.where(covers, 0.0, 1.0), np.where(covers, 0.0, distance(q("hint"), least("c"), most("c")))
+
+    df = candidates(items, s, part, [F.col("_x"), F.col("span_top"), F.col("span_bottom")], {"hint": F.col(hint)}, held, ("from", "to"), score)
     covers = F.col(hint).between(F.col("span_top") - tolerance, F.col("span_bottom") + tolerance)
-    away = F.abs((F.col("span_top") + F.col("span_bottom")) / 2 - F.col(hint))
+    away = F.abs(middle - F.col(hint))
     tier = F.when(F.coalesce(covers, F.lit(False)), 0).otherwise(1)
     order = [tier, F.when(tier == 0, F.lit(0.0)).otherwise(F.coalesce(away, F.lit(0.0))), F.col("_x"), F.col("span_top"), F.col("span_bottom")]
     return first_of(df, [*part, key], order).drop("_x")

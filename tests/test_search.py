@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from intervalia.operators import layout, search
+from intervalia.operators import layout, search, selection
 
 PLACES = [None, math.nan, math.inf, -math.inf]
 
@@ -88,3 +88,39 @@ def test_assigned_without_all_pairs(spark):
     targets = spark.range(m).selectExpr("1 AS page", "id AS t", "id * 7.0D AS lo", "id * 7.0D + 200 AS hi", "id % 4 = 0 AS odd")
     got = layout.assign_intervals(items, targets, ["page"], "m", "t", "l", "h", "lo", "hi", "odd")
     assert got.count() == n and most_rows(got) <= 4 * n
+
+
+def nearest_plainly(items, spans, tolerance=2.0):
+    """selection.nearest_span as its docstring has it, over all pairs."""
+    got = {}
+    for part, i, hint in items:
+        near = []
+        for p, x, top, bottom in spans:
+            if p == part and p is not None and above(bottom, top):
+                covers = hint is not None and hint >= top - tolerance and hint <= bottom + tolerance
+                away = 0.0 if covers or hint is None else abs((top + bottom) / 2 - hint)
+                near.append(((not covers, away, x, top, bottom), (top, bottom)))
+        if near:
+            got[i] = first(near)
+    return got
+
+
+@pytest.mark.parametrize("block", [32_768, 20])
+def test_nearest_as_over_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(search, "BLOCK", block)
+    r = random.Random(block)
+    items = [(p, i, None if a != a else a) for i, (p, a, _) in enumerate(intervals(r, 200, 0.05, 100))]
+    finite = lambda v: v if v is None or math.isfinite(v) else 7.0
+    spans = [(p, r.choice([None, 1.0, 2.0]), finite(a), finite(b)) for p, a, b in intervals(r, 90, 0.05, 2_000)]
+    a = spark.createDataFrame(items, "p int, k int, hint double"), spark.createDataFrame(spans, "p int, x double, t double, b double")
+    got = selection.nearest_span(*a, ["p"], "k", "hint", "x", "t", "b")
+    assert got.columns == ["p", "k", "hint", "span_top", "span_bottom"]
+    assert {r["k"]: (r["span_top"], r["span_bottom"]) for r in got.collect()} == nearest_plainly(items, spans)
+
+
+def test_nearest_without_all_pairs(spark):
+    n, m = 2000, 300
+    items = spark.range(n).selectExpr("1 AS p", "id AS k", "IF(id % 5 > 0, id * 1.0D, NULL) AS hint")
+    spans = spark.range(m).selectExpr("1 AS p", "id * 1.0D AS x", "id * 7.0D AS t", "id * 7.0D + 50 * (id % 9) AS b")
+    got = selection.nearest_span(items, spans, ["p"], "k", "hint", "x", "t", "b")
+    assert got.count() == n and most_rows(got) <= 4 * n
