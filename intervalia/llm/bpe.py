@@ -185,8 +185,12 @@ def codec(path: str, pattern: str) -> Codec:
 OUTPUTS = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "decoded": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] = ("ids",), text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns `carry` (all, if None) and the wanted OUTPUTS; the decoded ones come from the ids."""
+def encoded(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] = ("ids",), text: str = "text", carry: list[str] | None = None, forget: bool = False) -> DataFrame:
+    """The columns `carry` (all, if None) and the wanted OUTPUTS; the decoded ones come from the ids.
+
+    Workers keep the vocabulary and what they remember for their next task; with `forget`, they give both up as a task ends, so
+    that they don't stand beside the stages that follow.
+    """
     carry = list(docs.columns) if carry is None else carry
     if clash := set(carry) & set(outputs):
         raise ValueError(f"columns {sorted(clash)} exist already")
@@ -194,21 +198,28 @@ def encoded(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] =
     names = {"ids": "array<int>", "n_tokens": "long", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]] + [f"{o} {names[o]}" for o in outputs])
 
+    def encode(c: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        made: dict[str, list] = {o: [] for o in outputs}
+        for x in batch.column(0):
+            ids, listed = c.encode_listed(x.as_py())
+            back = c.decode(ids) if "decoded" in made or "decoded_sha256" in made else b""
+            row = {"ids": ids, "n_tokens": len(ids), "decoded": back}
+            if "ids_sha256" in made:
+                row["ids_sha256"] = hashlib.sha256(listed).hexdigest()
+            if "decoded_sha256" in made:
+                row["decoded_sha256"] = hashlib.sha256(back).hexdigest()
+            for o in outputs:
+                made[o].append(row[o])
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(made[o], OUTPUTS[o]) for o in outputs)], names=[*batch.schema.names[1:], *outputs])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
-            made: dict[str, list] = {o: [] for o in outputs}
-            for x in batch.column(0):
-                ids, listed = c.encode_listed(x.as_py())
-                back = c.decode(ids) if "decoded" in made or "decoded_sha256" in made else b""
-                row = {"ids": ids, "n_tokens": len(ids), "decoded": back}
-                if "ids_sha256" in made:
-                    row["ids_sha256"] = hashlib.sha256(listed).hexdigest()
-                if "decoded_sha256" in made:
-                    row["decoded_sha256"] = hashlib.sha256(back).hexdigest()
-                for o in outputs:
-                    made[o].append(row[o])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(made[o], OUTPUTS[o]) for o in outputs)], names=[*batch.schema.names[1:], *outputs])
+        try:
+            for batch in batches:
+                yield encode(c, batch)
+        finally:
+            if forget:
+                codec.cache_clear()
 
     return source.mapInArrow(lean(run), schema)
 
@@ -264,7 +275,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Defined cases: as above; a document that the mix took twice has two rows."""
     path, pattern = default_vocabulary()
-    return encoded(docs, path, pattern, DIGESTS, carry=["doc_id"])
+    return encoded(docs, path, pattern, DIGESTS, carry=["doc_id"], forget=True)
 
 
 SQL = None
